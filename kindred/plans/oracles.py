@@ -33,7 +33,7 @@ def _sim(source: str, name: str = "s", within: str | None = None, strict: bool =
   sum(exp(-1e-6 * abs(x.ts - y.ts))) AS rt
   FROM {name}_q x JOIN {name}_q y ON x.item_id = y.item_id AND x.user_id <> y.user_id {same}
   GROUP BY ALL),
-{name} AS (SELECT {out}user_u, user_v, rc, ru, rd, rt, 1.0 / (1.0 + {parts}) AS mfps FROM {name}_p)"""
+{name} AS (SELECT {out}user_u, user_v, rc, ru, rd, rt, 1.0 / (1.0 + ({parts})) AS mfps FROM {name}_p)"""
 
 
 def _with(*ctes: str) -> str:
@@ -50,7 +50,7 @@ def _predict(fallback: str = "u.m", low: bool = True) -> str:
     clamp = (lambda x: f"greatest(1.0, least(5.0, {x}))") if low else (lambda x: f"least(5.0, {x})")
     other = clamp(fallback) if fallback == "u.m" else fallback
     return _with(R, SPLIT, _sim("train", "s0"),
-                 "s AS (SELECT user_u, user_v, round(mfps, 10) AS sim FROM s0)",
+                 "s AS (SELECT user_u, user_v, mfps AS sim FROM s0)",
                  "ta AS (SELECT user_id, avg(rating) AS m FROM train GROUP BY user_id)",
                  """near AS (SELECT t.user_id, t.item_id, s.sim, b.rating - v.m AS dev,
   row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY s.sim DESC, s.user_v) AS k
@@ -154,7 +154,7 @@ RANKED = (SESSIONS, RECENT, LATEST, VECTORS,
   FROM latest l JOIN hits h ON h.query_id = l.content JOIN recent w ON w.user_id = l.user_id
   JOIN vec c ON c.item_id = h.item_id JOIN vec o ON o.item_id = w.item_id GROUP BY ALL)) WHERE rank <= 10)""")
 RECOMMENDED = RANKED + (
-    R, A, _sim("r", "s0"), "s AS (SELECT user_u, user_v, round(mfps, 10) AS sim FROM s0)",
+    R, A, _sim("r", "s0"), "s AS (SELECT user_u, user_v, mfps AS sim FROM s0)",
     "t AS (SELECT user_id, item_id FROM ranked WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM r))",
     """near AS (SELECT t.user_id, t.item_id, s.sim, b.rating - v.m AS dev,
   row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY s.sim DESC, s.user_v) AS k
@@ -164,7 +164,7 @@ RECOMMENDED = RANKED + (
     """p AS (SELECT t.user_id, t.item_id, greatest(1.0, least(5.0, u.m + coalesce(w.num / w.den, 0))) AS prediction
   FROM t JOIN a u USING (user_id) LEFT JOIN w USING (user_id, item_id))""",
     """rec AS (SELECT user_id, item_id, round(prediction, 6) AS prediction, CAST(row_number() OVER (
-  PARTITION BY user_id ORDER BY prediction DESC, item_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10)""")
+  PARTITION BY user_id ORDER BY round(p.prediction, 8) DESC, item_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10)""")
 
 
 def _weights(corpus_filter: str = "") -> str:
@@ -217,7 +217,7 @@ ORACLES = {
     "gather_factors": _with(R, _sim("r")) + """SELECT user_u, user_v, CAST(rc AS DOUBLE) AS rc, CAST(ru AS DOUBLE) AS ru,
   CAST(rd AS DOUBLE) AS rd, round(rt, 6) AS rt FROM s""",
     "neighbours_top_k": _with(R, _sim("r")) + """SELECT user_u, user_v, round(mfps, 6) AS mfps, rank FROM (SELECT user_u, user_v,
-  mfps, CAST(row_number() OVER (PARTITION BY user_u ORDER BY round(mfps, 10) DESC, user_v) AS INTEGER) AS rank FROM s)
+  mfps, CAST(row_number() OVER (PARTITION BY user_u ORDER BY mfps DESC, user_v) AS INTEGER) AS rank FROM s)
   WHERE rank <= 50""",
     "stranger_scores": _with(R, A) + "SELECT user_id AS user_v, round(1 / (1 + 1.0 / n), 6) AS stranger FROM a",
     "similarity_of_zero": _with(R, _sim("r"), ASKED)
@@ -228,7 +228,7 @@ ORACLES = {
     "predict_ratings": _predict() + "SELECT user_id, item_id, round(prediction, 6) AS prediction, n_neighbours FROM p",
     "predict_ratings_offline": _predict("-1.0", low=False)
     + "SELECT user_id, item_id, round(prediction, 6) AS prediction, n_neighbours FROM p",
-    "recommend_top_n": _predict() + """SELECT user_id, item_id, round(round(prediction, 8), 6) AS prediction, CAST(row_number() OVER (
+    "recommend_top_n": _predict() + """SELECT user_id, item_id, round(prediction, 6) AS prediction, CAST(row_number() OVER (
   PARTITION BY user_id ORDER BY round(prediction, 8) DESC, item_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""",
     "evaluate_ranking": _predict() + """, rec AS (SELECT user_id, item_id, row_number() OVER (
   PARTITION BY user_id ORDER BY round(prediction, 8) DESC, item_id) AS rank FROM p QUALIFY rank <= 5),

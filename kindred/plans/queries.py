@@ -166,7 +166,7 @@ def _scores(spark, d) -> DataFrame:
 
 @query
 def neighbours_top_k(spark, d):
-    return _round(similarity.neighbours(_scores(spark, d).withColumn("mfps", F.round("mfps", 10)), 50), "mfps")
+    return _round(similarity.neighbours(_scores(spark, d), 50), "mfps")
 
 
 @query
@@ -197,7 +197,7 @@ def similarity_of_skip(spark, d):
 
 def _predictions(spark, d, **kw):
     train, test = tables.train_test(spark, d)
-    scores = similarity.mfps(train).select("user_u", "user_v", F.round("mfps", 10).alias("mfps"))
+    scores = similarity.mfps(train).select("user_u", "user_v", "mfps")
     return recommend.predict_ratings(test, train, scores, **kw), train, test
 
 
@@ -212,19 +212,14 @@ def predict_ratings_offline(spark, d):
     return _round(_predictions(spark, d, fallback=-1, bounds=(None, 5))[0], "prediction")
 
 
-def _rounded_predictions(spark, d):
-    predicted, train, test = _predictions(spark, d)
-    return predicted.withColumn("prediction", F.round("prediction", 8)), train, test
-
-
 @query
 def recommend_top_n(spark, d):
-    return _round(recommend.recommend_top_n(_rounded_predictions(spark, d)[0], 5), "prediction")
+    return _round(recommend.recommend_top_n(_predictions(spark, d)[0], 5), "prediction")
 
 
 @query
 def evaluate_ranking(spark, d):
-    predicted, train, test = _rounded_predictions(spark, d)
+    predicted, train, test = _predictions(spark, d)
     return _round(recommend.evaluate_ranking(predicted, test, rt.avg_rating(train), 5, with_lists=True),
                   "precision", "recall", "f1")
 
@@ -503,7 +498,7 @@ def split_rated(spark, d):
 def _recommended(spark, d):
     found, activity, searches = tables.session_tables(spark, d)
     clean = tables.ratings_dedup(spark, d)
-    scores = similarity.mfps(clean).select("user_u", "user_v", F.round("mfps", 10).alias("mfps"))
+    scores = similarity.mfps(clean).select("user_u", "user_v", "mfps")
     return ss.recommend_from_sessions(found, activity, searches, tables.items(spark, d), _content_vectors(spark, d),
                                       clean, scores)
 
