@@ -18,9 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions import scalar as fx
 from kindred.operators.ratings import importance, max_scale, top_user, user_profile
 from kindred.operators.selection import nth_smallest, up_to
-from kindred.session import broadcast_if_small, cut_lineage
+from kindred.session import broadcast_if_small, cut_lineage, store_bucketed
 
 # Ratings of one user that may lie in one partition of a prepared profile.
 SLOT_ROWS = 100_000
@@ -36,14 +37,15 @@ class Seeding:
 
 
 def prepare_profile(ratings: DataFrame, averages: DataFrame | None = None) -> DataFrame:
-    """Profile for the loops: stored once, partitioned by user, so no round shuffles ratings.
+    """Profile for the loops: stored once, bucketed by user, so no round shuffles ratings.
 
-    A user with very many ratings is cut into slots, each a partition key of its own.
+    A user with very many ratings is cut into slots, each a bucket key of its own.
     """
     profile = user_profile(ratings, averages)
     parts = ratings.groupBy("user_id").agg(F.ceil(F.count("*") / SLOT_ROWS).alias("parts"))
     slot = F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")
-    return cut_lineage(_by_slot(profile.join(parts, "user_id").withColumn("slot", slot).drop("parts")))
+    return store_bucketed(profile.join(parts, "user_id").withColumn("slot", slot).drop("parts"),
+                          "profile", "user_id", "slot")
 
 
 def _by_slot(df: DataFrame) -> DataFrame:
@@ -159,10 +161,14 @@ def _seed_frame(spark, seeds) -> DataFrame:
 
 
 def assign_clusters(profile: DataFrame, centroids: DataFrame, n_items: int | None = None) -> DataFrame:
-    """Nearest centroid of every user, with the distance; the first centroid wins a tie."""
+    """Nearest centroid of every user, with the distance; the first centroid wins a tie.
+
+    Distances are sums in no fixed order, so they are compared to 6 places.
+    """
     users, heads = _distances(profile, centroids, n_items)
-    options = F.array(*[F.struct(F.col(f"d{i}").alias("distance"), F.lit(h.ordinal).alias("ordinal"),
-                                 F.lit(h.label).cast("bigint").alias("label")) for i, h in enumerate(heads)])
+    options = F.array(*[F.struct(fx.round_to(F.col(f"d{i}"), 6).alias("near"), F.lit(h.ordinal).alias("ordinal"),
+                                 F.lit(h.label).cast("bigint").alias("label"), F.col(f"d{i}").alias("distance"))
+                        for i, h in enumerate(heads)])
     return (users.withColumn("best", F.array_min(options))
             .select("user_id", "best.label", "best.ordinal", "best.distance", "base"))
 
@@ -171,7 +177,7 @@ def update_centroids(profile: DataFrame, assigned: DataFrame) -> DataFrame:
     """Mean profile of the users of each label."""
     labels = assigned.select("user_id", "label", "ordinal")
     if "slot" in profile.columns:
-        # meet the stored profile on its own partitioning: only user-sized tables move
+        # meet the stored profile on its own buckets: only user-sized tables move
         labels = _by_slot(profile.select("user_id", "slot").distinct().join(labels, "user_id"))
         joined = profile.join(labels, ["user_id", "slot"])
     else:

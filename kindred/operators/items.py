@@ -132,7 +132,7 @@ def item_knn(items: DataFrame, k: int = 21, drop_exact: bool = False) -> DataFra
     queries = items.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     near = (search_items_vector(queries, items, k).where("query_id <> item_id")
             .select(F.col("query_id").alias("item_id"), F.col("item_id").alias("item_rec"),
-                    F.round("score", 2).alias("score")))
+                    fx.round_to(F.col("score"), 2).alias("score")))
     return near.where(F.col("score") != 1.0) if drop_exact else near
 
 

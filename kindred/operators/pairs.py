@@ -26,8 +26,8 @@ CHUNK = 4096
 
 
 def grid_blocks(spark: SparkSession) -> int:
-    """Blocks such that the cells are about twice as many as the shuffle partitions."""
-    return max(4, math.ceil(math.sqrt(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    """Blocks such that the cells are about four times as many as the shuffle partitions."""
+    return max(4, math.ceil(math.sqrt(8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def user_block(user: Column, blocks: Column) -> Column:
@@ -78,7 +78,8 @@ def rater_pairs(ratings: DataFrame, carry: list[str], within: str | None = None,
     right = _high_side(ratings.select(*columns("v")), size).drop(*extra)
     cell = group + ["low", "high"]
     if way == "grid":
-        left, right = left.repartition(*cell), right.repartition(*cell)
+        # sizes are estimated without the copies, so Spark must not take a side for small
+        left, right = left.repartition(*cell), right.repartition(*cell).hint("merge")
 
     met = left.join(right, [*keys, "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("u") < F.col("v")))
     swap = F.col("u") > F.col("v")

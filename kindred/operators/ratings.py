@@ -98,10 +98,11 @@ def dense_matrix(ratings: DataFrame, block_width: int = 1024) -> DataFrame:
             .select("user_id", "block", F.transform("items", cell).alias("cells")))
 
 
-def squared_norms(profile: DataFrame) -> DataFrame:
-    """Per user: base, sum of deviations, sum of squared deviations."""
-    return profile.groupBy("user_id").agg(F.max("base").alias("base"), F.sum("dev").alias("s"),
-                                          F.sum(F.col("dev") * F.col("dev")).alias("q"))
+def rated_cells(ratings: DataFrame, block_width: int = 1024) -> DataFrame:
+    """Only the rated cells of the matrix, in the same blocks; expects one row per (user, item)."""
+    block = F.floor(F.col("item_id") / F.lit(block_width)).cast("bigint").alias("block")
+    return ratings.groupBy("user_id", block).agg(
+        F.array_sort(F.collect_list(F.struct("item_id", F.col("rating").alias("value")))).alias("cells"))
 
 
 def rating_side(rating, average):

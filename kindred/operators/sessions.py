@@ -76,7 +76,7 @@ def rank_candidates(session_items: DataFrame, candidates: DataFrame, items: Data
     compared = (pairs.select("item_id", "seen").distinct()
                 .join(vectors, "item_id")
                 .join(vectors.select(F.col("item_id").alias("seen"), F.col("vector").alias("seen_vector")), "seen")
-                .select("item_id", "seen", F.round(fx.dot(F.col("vector"), F.col("seen_vector")), 10).alias("cosine")))
+                .select("item_id", "seen", fx.round_to(fx.dot(F.col("vector"), F.col("seen_vector")), 10).alias("cosine")))
     best, sort = (F.max, F.desc) if order == "desc" else (F.min, F.asc)
     scored = (pairs.join(compared, ["item_id", "seen"]).groupBy("user_id", "item_id")
               .agg(best(F.col("cosine") * F.col("weight")).alias("score")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import scalar as fx
 from kindred.operators import pairs
 from kindred.operators.ratings import items_per_user, rating_side, user_stats
+from kindred.session import store
 
 
 def corated_pairs(ratings: DataFrame, within: str | None = None, way: str = "auto") -> DataFrame:
@@ -37,14 +38,15 @@ def pair_factors(ratings: DataFrame, averages: DataFrame | None = None, within:
     """Symmetric factors of every pair with a common item: (user_u < user_v, rc, rd, rt, n_u, n_v).
 
     Expects one row per (user, item). Item counts travel with the rating rows, so the usefulness
-    needs no join of the far larger pair table with the users.
+    needs no join of the far larger pair table with the users. The prepared ratings are stored
+    once; counting raters and both sides of the join read that table.
     """
     need = {"rc": [], "rd": ["side"], "rt": ["ts"]}
     carry = ["n_items"] + [c for f in factors for c in need[f]]
     sums = {"rc": F.count("*"),
             "rd": F.sum(fx.same_side(F.col("u_side"), F.col("v_side"), strict)),
             "rt": F.sum(fx.time_closeness(F.col("u_ts"), F.col("v_ts"), alpha))}
-    prepared = _with_sides(ratings, averages, [within] if within else [])
+    prepared = store(_with_sides(ratings, averages, [within] if within else []), "sided-ratings")
     met, local = pairs.rater_pairs(prepared, carry, within, way, blocks)
     return (met.groupBy(*local, "u", "v")
             .agg(*[sums[f].alias(f) for f in factors],

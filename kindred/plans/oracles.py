@@ -250,8 +250,8 @@ SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS reca
 
     "user_profile": _with(R, A) + "SELECT user_id, round(m, 6) AS base, item_id, round(rating - m, 6) AS dev FROM r JOIN a USING (user_id)",
     "dense_matrix": _with(R, A, DENSE) + f"SELECT user_id, CAST(floor(item_id / 1024) AS BIGINT) AS block, {CELL_SUMS} FROM x GROUP BY ALL",
-    "packed_matrix_roundtrip": _with(R, A, DENSE) + f"""SELECT user_id, label, {CELL_SUMS} FROM x
-  JOIN (SELECT user_id, CAST(min(rating) AS BIGINT) AS label FROM r GROUP BY user_id) USING (user_id) GROUP BY user_id, label""",
+    "packed_matrix_roundtrip": _with(R) + """SELECT user_id, item_id, rating AS value, label FROM r
+  JOIN (SELECT user_id, CAST(min(rating) AS BIGINT) AS label FROM r GROUP BY user_id) USING (user_id)""",
     "pick_centroid": _with(R, A, TOP) + """SELECT user_id AS label, round(m, 6) AS base, item_id, round(rating - m, 6) AS dev
   FROM r JOIN a USING (user_id) JOIN top USING (user_id)""",
     "distance_to_centroid": _with(*FIRST) + "SELECT user_id, round(d, 5) AS distance FROM near0",

@@ -28,7 +28,7 @@ def query(function):
 
 
 def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
+    return df.withColumns({n: fx.round_to(F.col(n), places) for n in names})
 
 
 # --- ratings ---------------------------------------------------------------------------------
@@ -40,7 +40,7 @@ def read_ratings(spark, d):
 
 @query
 def ratings_dedup(spark, d):
-    return tables.ratings_dedup(spark, d)
+    return rt.dedupe_ratings(tables.ratings(spark, d))
 
 
 @query
@@ -174,9 +174,8 @@ def stranger_scores(spark, d):
     return _round(similarity.stranger_scores(tables.ratings_dedup(spark, d)), "stranger")
 
 
-def _asked_pairs(spark, d) -> DataFrame:
+def _asked_pairs(clean) -> DataFrame:
     """Every user together with the most important one, common items or not."""
-    clean = tables.ratings_dedup(spark, d)
     top = rt.top_user(rt.importance(clean), "importance").select("user_id").scalar()
     return (rt.user_list(clean).select(F.col("user_id").alias("user_u"), top.alias("user_v"))
             .where("user_u <> user_v"))
@@ -184,13 +183,14 @@ def _asked_pairs(spark, d) -> DataFrame:
 
 @query
 def similarity_of_zero(spark, d):
-    return _round(similarity.similarity_of(_asked_pairs(spark, d), _scores(spark, d), zero_rc="zero"), "mfps")
+    clean = tables.ratings_dedup(spark, d)
+    return _round(similarity.similarity_of(_asked_pairs(clean), similarity.mfps(clean), zero_rc="zero"), "mfps")
 
 
 @query
 def similarity_of_skip(spark, d):
-    return _round(similarity.similarity_of(_asked_pairs(spark, d), _scores(spark, d),
-                                           tables.ratings_dedup(spark, d), zero_rc="skip"), "mfps")
+    clean = tables.ratings_dedup(spark, d)
+    return _round(similarity.similarity_of(_asked_pairs(clean), similarity.mfps(clean), clean, zero_rc="skip"), "mfps")
 
 
 # --- prediction, recommendation, evaluation ---------------------------------------------------
@@ -258,12 +258,13 @@ def dense_matrix(spark, d):
 
 @query
 def packed_matrix_roundtrip(spark, d):
+    """Rated cells as labelled text and back; the text of the full matrix has the same form."""
     clean = tables.ratings_dedup(spark, d)
     path = work_path(spark, "packed")
     # the label here is the user's lowest rating: any label will do for the format
     lowest = clean.groupBy("user_id").agg(F.min("rating").cast("bigint").alias("label"))
-    text.write_packed_matrix(rt.dense_matrix(clean), path, lowest)
-    return _cell_sums(text.read_packed_matrix(spark, path), "user_id", "label")
+    text.write_packed_matrix(rt.rated_cells(clean), path, lowest)
+    return text.read_packed_matrix(spark, path)
 
 
 def _first_seed(spark, d):
@@ -312,33 +313,32 @@ def seed_score(spark, d):
                   "distance", "score", places=5)
 
 
-def _seeding(spark, d):
-    clean = tables.ratings_dedup(spark, d)
+def _seeding(clean):
     profile = clustering.prepare_profile(clean)
     return profile, clustering.seed_centroids(profile, rt.importance(clean), CLUSTERS)
 
 
 @query
 def seed_centroids(spark, d):
-    return _round(_seeding(spark, d)[1].seeds, "score", places=5)
+    return _round(_seeding(tables.ratings_dedup(spark, d))[1].seeds, "score", places=5)
 
 
 @query
 def seed_labels(spark, d):
-    profile, seeding = _seeding(spark, d)
+    profile, seeding = _seeding(tables.ratings_dedup(spark, d))
     return clustering.seed_labels(seeding, profile).select("user_id", "label")
 
 
 @query
 def assign_clusters(spark, d):
-    profile, seeding = _seeding(spark, d)
+    profile, seeding = _seeding(tables.ratings_dedup(spark, d))
     found = clustering.assign_clusters(profile, seeding.centroids)
     return _round(found.select("user_id", "label", "distance"), "distance", places=5)
 
 
 @query
 def update_centroids(spark, d):
-    profile, seeding = _seeding(spark, d)
+    profile, seeding = _seeding(tables.ratings_dedup(spark, d))
     moved = clustering.update_centroids(profile, clustering.assign_clusters(profile, seeding.centroids))
     # back to the dense mean: absent cells hold the base
     return _round(moved.select("label", "item_id", (F.col("base") + F.col("dev")).alias("value")), "value", places=5)
@@ -346,38 +346,41 @@ def update_centroids(spark, d):
 
 @query
 def refine_clusters(spark, d):
-    profile, seeding = _seeding(spark, d)
+    profile, seeding = _seeding(tables.ratings_dedup(spark, d))
     found, _, _ = clustering.refine_clusters(profile, seeding.centroids, ROUNDS)
     return _round(found.select("user_id", "label", "distance"), "distance", places=5)
 
 
-def _labels(spark, d) -> DataFrame:
-    profile, seeding = _seeding(spark, d)
+def _labels(clean) -> DataFrame:
+    profile, seeding = _seeding(clean)
     return clustering.labels(clustering.refine_clusters(profile, seeding.centroids, ROUNDS)[0])
 
 
 @query
 def avg_rating_by_label(spark, d):
-    return _round(rt.avg_rating_by_label(tables.ratings_dedup(spark, d), _labels(spark, d)), "avg_rating")
+    clean = tables.ratings_dedup(spark, d)
+    return _round(rt.avg_rating_by_label(clean, _labels(clean)), "avg_rating")
 
 
 @query
 def write_labels(spark, d):
     path = work_path(spark, "labels")
-    stores.write_labels(_labels(spark, d), path)
+    stores.write_labels(_labels(tables.ratings_dedup(spark, d)), path)
     return spark.read.parquet(path)
 
 
 @query
 def write_clusters(spark, d):
     path = work_path(spark, "clusters")
-    stores.write_clusters(tables.ratings_dedup(spark, d), _labels(spark, d), path)
+    clean = tables.ratings_dedup(spark, d)
+    stores.write_clusters(clean, _labels(clean), path)
     return _round(stores.read_clusters(spark, path), "avg_rating")
 
 
 @query
 def mfps_within_cluster(spark, d):
-    labelled = clustering.label_ratings(tables.ratings_dedup(spark, d), _labels(spark, d))
+    clean = tables.ratings_dedup(spark, d)
+    labelled = clustering.label_ratings(clean, _labels(clean))
     return _round(similarity.mfps(labelled, within="label"), "rt", "mfps")
 
 
@@ -546,7 +549,7 @@ def changed_users(spark, d):
 
 @query
 def affected_clusters(spark, d):
-    return incremental.affected_clusters(_changed(spark, d), _labels(spark, d))
+    return incremental.affected_clusters(_changed(spark, d), _labels(tables.ratings_dedup(spark, d)))
 
 
 @query
@@ -557,9 +560,8 @@ def mfps_incremental(spark, d):
 @query
 def merge_similarity(spark, d):
     """Stored scores of the older ratings, refreshed for changed users: equal to a full recompute."""
-    train, _ = tables.train_test(spark, d)
     clean = tables.ratings_dedup(spark, d)
-    # also users whose older rating of an item was replaced by a newer one
+    train = clean.where(F.col("ts") <= tables.MARK_EPOCH)
     changed = _changed(spark, d)
     fresh = incremental.mfps_incremental(clean, changed)
     return _round(incremental.merge_similarity(similarity.mfps(train), fresh, changed), "mfps")

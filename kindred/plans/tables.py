@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import scalar as fx
 from kindred.operators.ratings import dedupe_ratings
 from kindred.operators.sessions import sessionize
+from kindred.session import store
 
 SESSION_GAP_SECONDS = 6 * 3600
 # Ratings up to this day are the stored training data, later ones are new reviews / the test set.
@@ -33,7 +34,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe_ratings(ratings(spark, sf_dir))
+    """One row per (user, item), stored once per query since several steps read it."""
+    return store(dedupe_ratings(ratings(spark, sf_dir)), "ratings")
 
 
 def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

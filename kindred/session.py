@@ -69,6 +69,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a relation that several steps read as a table on the shared folder, and read it back.
+
+    Later plans start at a compressed, column-pruned scan of known size.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def store_bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Store a relation bucketed by columns: later joins and aggregates on them do not shuffle it.
+
+    There are as many buckets as shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"kindred_{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *columns).write.bucketBy(buckets, *columns)
+     .option("path", work_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when a bounded count shows it is small; otherwise Spark joins by shuffle.
 
