@@ -9,7 +9,7 @@ from kindred import schemas
 from kindred.functions import scalar as fx
 from kindred.operators import clustering, incremental, items, ratings as rt, recommend, sessions as ss, similarity
 from kindred.plans import tables
-from kindred.session import prepare, work_path
+from kindred.session import prepare, store, work_path
 from kindred.sources import stores, text
 from kindred.streaming import streams
 
@@ -142,7 +142,7 @@ def mfps(spark, d):
 @query
 def combine_factors(spark, d):
     """Factors stored as flagged text, read back, gathered per pair and scored."""
-    scored = similarity.mfps(tables.ratings_dedup(spark, d))
+    scored = store(similarity.mfps(tables.ratings_dedup(spark, d)), "scores")
     paths = {f: work_path(spark, f) for f in ("rc", "ru", "rd", "rt")}
     for f, path in paths.items():
         text.write_pairs(scored, f, f, path)
@@ -153,7 +153,7 @@ def combine_factors(spark, d):
 @query
 def gather_factors(spark, d):
     """The four factors as one flagged relation, gathered per pair in one pass."""
-    scored = similarity.mfps(tables.ratings_dedup(spark, d))
+    scored = store(similarity.mfps(tables.ratings_dedup(spark, d)), "scores")
     path = work_path(spark, "factors")
     for f in ("rc", "ru", "rd", "rt"):
         text.write_pairs(scored, f, f, path, mode="append")
