@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalar as fx
 from kindred.functions import text as tx
+from kindred.session import store
 
 # Bytes of vectors a task holds per side of a block, and scores it holds at once.
 BLOCK_BYTES = 32 << 20
@@ -38,11 +39,11 @@ def text_weights(items: DataFrame, dims: int = 64, corpus: DataFrame | None = No
         return (df.select("item_id", F.explode(tx.terms(F.col("name"))).alias("term"))
                 .groupBy("item_id", tx.term_slot(F.col("term"), dims).alias("slot")).agg(F.count("*").alias("tf")))
 
-    corpus = items if corpus is None else corpus
-    total = corpus.agg(F.count("*")).scalar()
-    idf = (counts(corpus).groupBy("slot").agg(F.count("*").alias("df"))
+    own = store(counts(items), "term-counts")  # texts are split once; frequencies read the counts
+    total = (items if corpus is None else corpus).agg(F.count("*")).scalar()
+    idf = ((own if corpus is None else counts(corpus)).groupBy("slot").agg(F.count("*").alias("df"))
            .select("slot", F.log((total + F.lit(1.0)) / (F.col("df") + F.lit(1.0))).alias("idf")))
-    raw = counts(items).join(F.broadcast(idf), "slot").select("item_id", "slot", (F.col("tf") * F.col("idf")).alias("weight"))
+    raw = own.join(F.broadcast(idf), "slot").select("item_id", "slot", (F.col("tf") * F.col("idf")).alias("weight"))
     packed = (raw.where("weight <> 0").groupBy("item_id")
               .agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("parts")))
     length = F.sqrt(F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["weight"] * p["weight"]))

@@ -501,7 +501,8 @@ def split_rated(spark, d):
 def _recommended(spark, d):
     found, activity, searches = tables.session_tables(spark, d)
     clean = tables.ratings_dedup(spark, d)
-    scores = similarity.mfps(clean).select("user_u", "user_v", "mfps")
+    # only users with sessions are asked for, so only their pairs are scored
+    scores = incremental.mfps_incremental(clean, found.select("user_id")).select("user_u", "user_v", "mfps")
     return ss.recommend_from_sessions(found, activity, searches, tables.items(spark, d), _content_vectors(spark, d),
                                       clean, scores)
 
