@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import langid, ngram_join, packing, secret_scan
-from kindred.session import prepare, store
+from kindred.llm.session import prepare
+from kindred.session import store
 
 MASK = "[SECRET]"
 
@@ -22,12 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The machines learn from the labelled documents of `docs` that are not held out. lang becomes the prediction.
     """
     prepare(spark)
-    model = langid.fit(docs.where(~langid.held_out()))
-    # A verdict depends on the text alone, so it is attached by text identity where ids are null or repeat.
-    verdicts = (langid.identify(docs, model).where("lang_pred != 'und'")
-                .groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred")))
-    kept = docs.where(F.col("text").rlike(r"\p{L}")).join(verdicts, docs["doc_id"].eqNullSafe(verdicts["doc_id"]), "left").drop(verdicts["doc_id"])
-    return kept.withColumn("lang", F.coalesce("lang_pred", "lang")).select(*docs.columns)
+    return langid.accepted(docs, langid.fit(docs.where(~langid.held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

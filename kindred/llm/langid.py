@@ -20,7 +20,7 @@ from kindred.llm import arrow
 from kindred.llm.shingles import mix
 
 DIMS = 4096
-ROWS = 512
+ROWS = 128
 # Languages by family; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
@@ -42,45 +42,52 @@ def family_of(lang: str) -> str:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A unit vector per text, and whether it has letters. A text's vector does not depend on the others."""
-    x = np.zeros((len(texts), DIMS), np.float32)
-    lettered = np.zeros(len(texts), bool)
-    for start in range(0, len(texts), ROWS):
-        part = [f" {t.lower()} " for t in texts[start:start + ROWS]]
-        code = np.frombuffer("".join(part).encode("utf-32-le", "replace"), np.uint32)
-        doc = np.repeat(np.arange(len(part)), [len(t) for t in part])
-        letter = _LETTER[code]
-        code = np.where(letter, code, 0)
-        keep = letter.copy()
-        keep[0] = True
-        keep[1:] |= letter[:-1] | (doc[1:] != doc[:-1])
-        code, doc, letter = code[keep].astype(np.uint64), doc[keep], letter[keep]
-        counts = np.zeros(len(part) * DIMS)
-        hashed = np.zeros(len(code), np.uint64)
-        for n in range(1, 4):
-            hashed = mix(hashed[:len(code) - n + 1] + code[n - 1:] * np.uint64(2 * n + 1) + np.uint64(n))
-            same = doc[:len(hashed)] == doc[n - 1:]
-            same &= (code[:len(hashed)] > 0) | (code[n - 1:] > 0)
-            slot = doc[:len(hashed)][same] * DIMS + (hashed[same] % np.uint64(DIMS)).astype(np.int64)
-            counts += np.bincount(slot, minlength=len(counts))
-        rows = np.sqrt(counts.reshape(len(part), DIMS))
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        x[start:start + len(part)] = rows / np.where(norm > 0, norm, 1)
-        lettered[start:start + len(part)] = np.bincount(doc[letter], minlength=len(part)) > 0
-    return x, lettered
+    part = [f" {t.lower()} " for t in texts]
+    code = np.frombuffer("".join(part).encode("utf-32-le", "replace"), np.uint32)
+    doc = np.repeat(np.arange(len(part)), [len(t) for t in part])
+    letter = _LETTER[code]
+    code = np.where(letter, code, 0)
+    keep = letter.copy()
+    keep[:1] = True
+    keep[1:] |= letter[:-1] | (doc[1:] != doc[:-1])
+    code, doc, letter = code[keep].astype(np.uint64), doc[keep], letter[keep]
+    counts = np.zeros(len(part) * DIMS)
+    hashed = np.zeros(len(code), np.uint64)
+    for n in range(1, 4):
+        hashed = mix(hashed[:len(code) - n + 1] + code[n - 1:] * np.uint64(2 * n + 1) + np.uint64(n))
+        same = doc[:len(hashed)] == doc[n - 1:]
+        same &= (code[:len(hashed)] > 0) | (code[n - 1:] > 0)
+        slot = doc[:len(hashed)][same] * DIMS + (hashed[same] % np.uint64(DIMS)).astype(np.int64)
+        counts += np.bincount(slot, minlength=len(counts))
+    rows = np.sqrt(counts.reshape(len(part), DIMS))
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return (rows / np.where(norm > 0, norm, 1)).astype(np.float32), np.bincount(doc[letter], minlength=len(part)) > 0
+
+
+def _blocks(batches):
+    """Rows in blocks of at most ROWS, with their features; null texts as empty ones."""
+    for batch in batches:
+        for part in arrow.pieces(batch, "text"):
+            for start in range(0, part.num_rows, ROWS):
+                block = part.slice(start, ROWS)
+                yield block, *features(pc.fill_null(block.column("text").cast(pa.large_string()), "").to_pylist())
 
 
 def svm(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine with squared hinge loss, classes weighted alike, by accelerated descent."""
     y = np.where(positive, 1.0, -1.0)
     weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = ahead = np.zeros(x.shape[1])
-    rate = 1 / (4 + penalty)
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
+    w = ahead = np.zeros(x.shape[1], np.float32)
+    bias = ahead_bias = np.float32(0)
+    rate = np.float32(1 / (4 + penalty))
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (penalty * ahead - 2 * x.T @ (weight * slack * y))
-        ahead, w = new + t / (t + 3) * (new - w), new
-    return w[:-1], float(w[-1])
+        push = weight * y * np.maximum(0, 1 - y * (x @ ahead + ahead_bias))
+        new, new_bias = ahead + rate * (2 * (push @ x) - np.float32(penalty) * ahead), ahead_bias + rate * 2 * push.sum()
+        speed = np.float32(t / (t + 3))
+        ahead, ahead_bias = new + speed * (new - w), new_bias + speed * (new_bias - bias)
+        w, bias = new, new_bias
+    return w.astype(np.float64), float(bias)
 
 
 class Model:
@@ -127,14 +134,12 @@ class Model:
 
 
 def _learned(batches):
-    for batch in batches:
-        for part in arrow.pieces(batch, "text"):
-            x, lettered = features(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(lettered)],
-                                             names=["lang", "x", "lettered"])
+    for block, x, lettered in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(lettered)],
+                                         names=["lang", "x", "lettered"])
 
 
-def fit(labelled: DataFrame, per_lang: int = 600, most: int = 4000) -> Model | None:
+def fit(labelled: DataFrame, per_lang: int = 400, most: int = 2500) -> Model | None:
     """Learn from rows (doc_id, text, lang); null texts and labels are left out. None if nothing is left.
 
     The machines are fitted on a sample chosen by a hash of doc_id: about `per_lang` rows of each
@@ -152,10 +157,17 @@ def fit(labelled: DataFrame, per_lang: int = 600, most: int = 4000) -> Model | N
     rows = sample.select("text", "lang").mapInArrow(_learned, "lang string, x binary, lettered boolean").where("lettered").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
+    rows.sort(key=lambda r: (r["lang"], r["x"]))
     return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
+def _verdicts(shared, x: np.ndarray, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lang, score = np.full(len(x), "und", object), np.zeros(len(x))
+    if shared.value is not None and lettered.any():
+        lang[lettered], score[lettered] = shared.value.predict(x[lettered])
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) of every row of `docs` (doc_id, text) from its whole text alone.
 
@@ -165,18 +177,31 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            for part in arrow.pieces(batch, "text"):
-                x, lettered = features(pc.fill_null(part.column("text"), "").to_pylist())
-                lang, score = np.full(len(x), "und", object), np.zeros(len(x))
-                if shared.value is not None and lettered.any():
-                    lang[lettered], score[lettered] = shared.value.predict(x[lettered])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)],
-                                                 names=["doc_id", "lang_pred", "score"])
+        for block, x, lettered in _blocks(batches):
+            lang, score = _verdicts(shared, x, lettered)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)],
+                                             names=["doc_id", "lang_pred", "score"])
     return (docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
             .mapInArrow(run, "doc_id long, lang_pred string, score double"))
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs` (text, lang, any others) that have a language, whole, with lang as predicted. No shuffle.
+
+    Rows whose prediction is `und` go: null texts and texts without letters. If nothing was learned, rows with letters keep their lang.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("lang")
+
+    def run(batches):
+        for block, x, lettered in _blocks(batches):
+            if shared.value is not None:
+                lang, _ = _verdicts(shared, x, lettered)
+                block = block.set_column(at, block.schema.field(at), pa.array(lang, pa.string()).cast(block.schema.types[at]))
+            yield block.filter(pa.array(lettered))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents never learned from: crc32 of the id as text is 2 modulo 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -79,7 +79,7 @@ def word_vocabulary(path: str) -> WordVocabulary:
 class WordTable(dict):
     """What `value` makes of a chunk, kept for chunks seen; emptied at `most` entries."""
 
-    def __init__(self, value: Callable[[str], object], most: int = 500_000):
+    def __init__(self, value: Callable[[str], object], most: int = 300_000):
         super().__init__()
         self.value, self.most = value, most
 
