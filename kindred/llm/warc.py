@@ -21,7 +21,7 @@ from kindred.session import work_path
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FILE_RECORDS = 6_000
+FILE_RECORDS = 1_500
 _UNSAFE = re.compile(r"[\x00-\x20\x7f<>\"]")
 
 
