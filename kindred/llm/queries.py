@@ -1,4 +1,4 @@
-"""One query per operator over the driver's tables, and the SQL it is checked against where SQL can say it."""
+"""One query per operator over the driver's tables."""
 
 from __future__ import annotations
 
@@ -71,6 +71,3 @@ def op9_warc(spark, d):
 @query
 def op10_token_counts(spark, d):
     return token_count.token_counts(_table(spark, d, "documents"))
-
-
-ORACLES: dict[str, str] = {}
