@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with five-word Jaccard 0.8 or more, the one with the smallest doc_id stays.
 
-    Documents without words, or without doc_id, link with nothing and stay; rows that repeat the smallest
-    doc_id become one.
+    Documents without words, or without doc_id, link with nothing and stay. Rows that repeat a doc_id are one
+    document: they stay or go together.
     """
     prepare(spark)
     groups = ngram_join.ngram_join(docs).select(F.col("doc_id").alias("own"), "component_id").where("component_id < own").distinct()
