@@ -25,6 +25,8 @@ from kindred.session import broadcast_if_small, cut_lineage, store_bucketed
 
 # Ratings of one user that may lie in one partition of a prepared profile.
 SLOT_ROWS = 100_000
+# Numbers the centroids laid side by side may hold to be broadcast (8 bytes each): 32 MB.
+BROADCAST_CELLS = 4_000_000
 
 
 @dataclass
@@ -71,7 +73,8 @@ def _distances(profile: DataFrame, centroids: DataFrame, n_items: int | None):
     wide = centroids.groupBy("item_id").agg(*[
         F.sum(F.when(F.col("ordinal") == h.ordinal, F.col("dev")).otherwise(0.0)).alias(f"c{i}")
         for i, h in enumerate(heads)])
-    met = profile.join(broadcast_if_small(wide), "item_id", "left")
+    wide = cut_lineage(wide)
+    met = profile.join(broadcast_if_small(wide, BROADCAST_CELLS // (len(heads) + 1)), "item_id", "left")
     dev = F.col("dev")
     sums = [F.max("base").alias("base"), F.sum(dev).alias("s"), F.sum(dev * dev).alias("q")]
     sums += [F.sum(dev * F.coalesce(f"c{i}", F.lit(0.0))).alias(f"dot{i}") for i in range(len(heads))]
@@ -98,7 +101,11 @@ def distance_to_centroid(profile: DataFrame, centroid: DataFrame, n_items: int |
 
 
 def m_nearest(distances: DataFrame, m: int) -> DataFrame:
-    """The m users with the smallest distance; smaller ids first among equals."""
+    """The m users with the smallest distance; smaller ids first among equals.
+
+    Distances are materialised first: the cutoff has to come from the very sums it is compared with.
+    """
+    distances = cut_lineage(distances)
     return distances.where(up_to("distance", "user_id", nth_smallest(distances, "distance", "user_id", m)))
 
 
@@ -188,14 +195,16 @@ def update_centroids(profile: DataFrame, assigned: DataFrame) -> DataFrame:
             .select("ordinal", "label", "base", "item_id", (F.col("dev") / F.col("n")).alias("dev")))
 
 
-def refine_clusters(profile: DataFrame, centroids: DataFrame, max_iter: int = 50, n_items: int | None = None):
+def refine_clusters(profile: DataFrame, centroids: DataFrame, max_iter: int | None = None, n_items: int | None = None):
     """Assign and average in turn until no user changes cluster. Returns (assignment, centroids, rounds).
 
-    A centroid left without users stays where it is.
+    A centroid left without users stays where it is. With `max_iter`, not being done by then is an error.
     """
     n_items = count_items(profile) if n_items is None else n_items
     assigned = cut_lineage(assign_clusters(profile, centroids, n_items))
-    for done in range(1, max_iter + 1):
+    done = 0
+    while max_iter is None or done < max_iter:
+        done += 1
         moved = update_centroids(profile, assigned)
         alone = centroids.join(F.broadcast(moved.select("ordinal").distinct()), "ordinal", "left_anti")
         centroids = cut_lineage(moved.unionByName(alone))
@@ -205,7 +214,7 @@ def refine_clusters(profile: DataFrame, centroids: DataFrame, max_iter: int = 50
         assigned = after
         if not changes:
             return assigned, centroids, done
-    return assigned, centroids, max_iter
+    raise RuntimeError(f"users still change clusters after {max_iter} rounds")
 
 
 def seed_labels(seeding: Seeding, profile: DataFrame, n_items: int | None = None) -> DataFrame:
@@ -222,7 +231,7 @@ def label_ratings(ratings: DataFrame, user_labels: DataFrame) -> DataFrame:
     return ratings.join(user_labels.select("user_id", "label"), "user_id")
 
 
-def cluster_users(ratings: DataFrame, k: int = 5, refine: bool = True, max_iter: int = 50, f_scale: str = "global",
+def cluster_users(ratings: DataFrame, k: int = 5, refine: bool = True, max_iter: int | None = None, f_scale: str = "global",
                   m: int | None = None) -> DataFrame:
     """(user_id, label) end to end: with refinement, or with the seeds' own users labelled directly."""
     profile = prepare_profile(ratings)

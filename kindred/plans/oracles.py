@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from kindred.plans.tables import MARK_EPOCH
 
-K, ROUNDS, DIMS = 3, 3, 64
+# ROUNDS lies past the fixed point; the SQL fails if the last two rounds differ.
+K, ROUNDS, DIMS = 5, 22, 64
 GAP = 6 * 3600 * 1_000_000
 
 R0 = """r0 AS (SELECT o_custkey AS user_id, l_partkey AS item_id,
@@ -105,8 +106,10 @@ def _rounds(rounds: int) -> str:
     return ",\n".join(ctes)
 
 
-CLUSTERED = (R, A, DENSE, _seeds(), _rounds(ROUNDS))
-LABELS = f"SELECT user_id, label FROM l{ROUNDS}"
+CLUSTERED = (R, A, DENSE, _seeds(), _rounds(ROUNDS), f"""refined AS MATERIALIZED (SELECT * FROM l{ROUNDS} WHERE CASE WHEN EXISTS (
+  SELECT 1 FROM l{ROUNDS} x JOIN l{ROUNDS - 1} y USING (user_id) WHERE x.ordinal <> y.ordinal)
+  THEN error('users still change clusters') ELSE true END)""")
+LABELS = "SELECT user_id, label FROM refined"
 FIRST = (R, A, DENSE, _seeds(2))
 
 # --- sessions -----------------------------------------------------------------------------------
@@ -267,12 +270,12 @@ SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS reca
     "assign_clusters": _with(R, A, DENSE, _seeds(), _rounds(0)) + "SELECT user_id, label, round(d, 5) AS distance FROM l0",
     "update_centroids": _with(R, A, DENSE, _seeds(), _rounds(1)) + """SELECT label, item_id, round(v, 5) AS value FROM c1
   WHERE (label, item_id) IN (SELECT (label, item_id) FROM l0 JOIN r USING (user_id))""",
-    "refine_clusters": _with(*CLUSTERED) + f"SELECT user_id, label, round(d, 5) AS distance FROM l{ROUNDS}",
-    "avg_rating_by_label": _with(*CLUSTERED) + f"SELECT user_id, label, round(m, 6) AS avg_rating FROM l{ROUNDS} JOIN a USING (user_id)",
+    "refine_clusters": _with(*CLUSTERED) + f"SELECT user_id, label, round(d, 5) AS distance FROM refined",
+    "avg_rating_by_label": _with(*CLUSTERED) + f"SELECT user_id, label, round(m, 6) AS avg_rating FROM refined JOIN a USING (user_id)",
     "write_labels": _with(*CLUSTERED) + LABELS,
     "write_clusters": _with(*CLUSTERED) + f"""SELECT user_id, item_id, rating, ts, round(m, 6) AS avg_rating, label
-  FROM r JOIN a USING (user_id) JOIN l{ROUNDS} USING (user_id)""",
-    "mfps_within_cluster": _with(*CLUSTERED, f"lr AS (SELECT r.*, label FROM r JOIN l{ROUNDS} USING (user_id))",
+  FROM r JOIN a USING (user_id) JOIN refined USING (user_id)""",
+    "mfps_within_cluster": _with(*CLUSTERED, f"lr AS (SELECT r.*, label FROM r JOIN refined USING (user_id))",
                                  _sim("lr", within="label")) + f"SELECT label, {MFPS_COLUMNS} FROM s",
 
     "extract_item_id": "SELECT vec_id AS item_id FROM embeddings",
@@ -317,7 +320,7 @@ UNION ALL SELECT item_id, true, {DIMS}, round(sqrt(sum(weight * weight)), 5) FRO
     "new_ratings": _with(R0) + f"SELECT user_id, item_id, rating, ts, count(*) AS copies FROM r0 WHERE ts > {MARK_EPOCH} GROUP BY ALL",
     "append_new_ratings": _with(R0) + "SELECT user_id, count(*) AS n, max(ts) AS ts, sum(rating) AS total FROM r0 GROUP BY user_id",
     "changed_users": _with(R0, CHANGED) + "SELECT * FROM changed",
-    "affected_clusters": _with(*CLUSTERED, CHANGED) + f"SELECT DISTINCT label FROM l{ROUNDS} JOIN changed USING (user_id)",
+    "affected_clusters": _with(*CLUSTERED, CHANGED) + f"SELECT DISTINCT label FROM refined JOIN changed USING (user_id)",
     "mfps_incremental": _with(R, _sim("r"), CHANGED) + f"""SELECT {MFPS_COLUMNS} FROM s
   WHERE user_u IN (SELECT user_id FROM changed) OR user_v IN (SELECT user_id FROM changed)""",
     "merge_similarity": _with(R, _sim("r")) + SCORES,

@@ -13,8 +13,7 @@ from kindred.session import prepare, store, work_path
 from kindred.sources import stores, text
 from kindred.streaming import streams
 
-CLUSTERS = 3
-ROUNDS = 3
+CLUSTERS = 5
 DIMS = 64
 QUERIES = {}
 
@@ -347,13 +346,13 @@ def update_centroids(spark, d):
 @query
 def refine_clusters(spark, d):
     profile, seeding = _seeding(tables.ratings_dedup(spark, d))
-    found, _, _ = clustering.refine_clusters(profile, seeding.centroids, ROUNDS)
+    found, _, _ = clustering.refine_clusters(profile, seeding.centroids)
     return _round(found.select("user_id", "label", "distance"), "distance", places=5)
 
 
 def _labels(clean) -> DataFrame:
     profile, seeding = _seeding(clean)
-    return clustering.labels(clustering.refine_clusters(profile, seeding.centroids, ROUNDS)[0])
+    return clustering.labels(clustering.refine_clusters(profile, seeding.centroids)[0])
 
 
 @query
@@ -585,10 +584,19 @@ def write_similarity(spark, d):
 
 # --- streams ---------------------------------------------------------------------------------
 
-def _rating_stream(spark, ratings: DataFrame, files: int = 4) -> DataFrame:
-    path = work_path(spark, "incoming")
-    ratings.repartition(files, "user_id").write.parquet(path)
-    return streams.read_stream(spark, path, schemas.RATINGS)
+BATCHES = 4
+
+
+def _file_count(df: DataFrame) -> int:
+    """Files per micro-batch: as many as the source's tasks, shared by the batches."""
+    return max(1, -(-df.rdd.getNumPartitions() // BATCHES))
+
+
+def _rating_stream(spark, ratings: DataFrame) -> DataFrame:
+    """The ratings as a stream of several micro-batches, each with ratings of all times."""
+    path, files = work_path(spark, "incoming"), _file_count(ratings)
+    ratings.repartition(BATCHES * files, "user_id").write.parquet(path)
+    return streams.read_stream(spark, path, schemas.RATINGS, files_per_batch=files)
 
 
 @query
@@ -596,7 +604,7 @@ def stream_ratings(spark, d):
     sink = work_path(spark, "stream-ratings")
     stream = _rating_stream(spark, tables.ratings(spark, d))
     streams.stream_ratings(stream, sink, work_path(spark, "state")).awaitTermination()
-    return schemas.conform(spark.read.parquet(sink), schemas.RATINGS)
+    return streams.stored_ratings(spark, sink)
 
 
 @query
@@ -620,8 +628,15 @@ def stream_similarity(spark, d):
 
 
 def _activity_stream(spark, d) -> DataFrame:
-    stored = tables.table(spark, d, "events")
-    raw = streams.read_stream(spark, d, stored.schema, "events.parquet")
+    """The events as a stream of several micro-batches, in order of time."""
+    stored, path = tables.table(spark, d, "events"), work_path(spark, "incoming-events")
+    files = _file_count(stored)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = stored.select(at.alias("at")).approxQuantile("at", [k / BATCHES for k in range(1, BATCHES)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = stored.where(F.lit(True) if low is None else at >= int(low)).where(F.lit(True) if high is None else at < int(high))
+        part.repartition(files, "user_id").write.mode("append").parquet(path)
+    raw = streams.read_stream(spark, path, stored.schema, files_per_batch=files)
     return tables.activity_of(tables.shape_events(raw)).select(
         "user_id", "action", F.timestamp_micros("ts").alias("event_time"))
 

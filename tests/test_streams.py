@@ -15,15 +15,15 @@ def rows(spark, *data):
     return spark.createDataFrame([(u, i, float(r), t) for u, i, r, t in data], schemas.RATINGS)
 
 
-def test_repeated_and_late_ratings(spark, tmp_path):
+def test_late_ratings_stay_and_repeated_ones_count_once(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     first = rows(spark, (1, 1, 5, 100_000), (1, 1, 5, 100_000), (2, 1, 3, 99_000))
     streams.stream_ratings(feed(spark, first, source), sink, state).awaitTermination()
-    # within the hour: kept; repeated: dropped; two hours late: dropped
     second = rows(spark, (3, 1, 4, 97_000), (1, 1, 5, 100_000), (4, 1, 4, 92_000))
     streams.stream_ratings(feed(spark, second, source), sink, state).awaitTermination()
-    stored = {(r.user_id, r.ts) for r in spark.read.parquet(sink).collect()}
-    assert stored == {(1, 100_000), (2, 99_000), (3, 97_000)}
+    stored = sorted((r.user_id, r.ts) for r in streams.stored_ratings(spark, sink).collect())
+    assert stored == [(1, 100_000), (2, 99_000), (3, 97_000), (4, 92_000)]
+    assert spark.read.parquet(sink).select("batch").distinct().count() == 2
 
 
 def test_running_user_stats(spark, tmp_path, many):
@@ -42,10 +42,10 @@ def test_similarity_follows_the_stream(spark, tmp_path, many):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     parts = [many.where("ts <= 2000000"), many.where("ts > 2000000 and ts <= 2500000"), many.where("ts > 2500000")]
     base = similarity.mfps(parts[0])
-    parts[1].coalesce(1).write.mode("append").parquet(source)
-    parts[2].coalesce(1).write.mode("append").parquet(source)
+    for part in (parts[2], parts[1]):  # the later ratings first
+        part.coalesce(1).write.mode("append").parquet(source)
     stream = streams.read_stream(spark, source, schemas.RATINGS, files_per_batch=1)
-    streams.stream_similarity(stream, parts[0], base, sink, state, delay="365 days").awaitTermination()
+    streams.stream_similarity(stream, parts[0], base, sink, state).awaitTermination()
     assert spark.read.parquet(f"{sink}/changed").select("batch").distinct().count() >= 2
     found = {(r.user_u, r.user_v): r.mfps for r in streams.current_similarity(spark, sink).collect()}
     assert found == pytest.approx({p: v[4] for p, v in factors(many.collect()).items()})
