@@ -231,12 +231,19 @@ def label_ratings(ratings: DataFrame, user_labels: DataFrame) -> DataFrame:
     return ratings.join(user_labels.select("user_id", "label"), "user_id")
 
 
-def cluster_users(ratings: DataFrame, k: int = 5, refine: bool = True, max_iter: int | None = None, f_scale: str = "global",
-                  m: int | None = None) -> DataFrame:
-    """(user_id, label) end to end: with refinement, or with the seeds' own users labelled directly."""
+def cluster_model(ratings: DataFrame, k: int = 5, refine: bool = True, max_iter: int | None = None, f_scale: str = "global",
+                  m: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(user_id, label) end to end, and the centroids: refined, or the seeds with their own users labelled directly."""
     profile = prepare_profile(ratings)
     n_items = count_items(profile)
     seeding = seed_centroids(profile, importance(ratings), k, f_scale, m, n_items)
     if not refine:
-        return labels(seed_labels(seeding, profile, n_items))
-    return labels(refine_clusters(profile, seeding.centroids, max_iter, n_items)[0])
+        return labels(seed_labels(seeding, profile, n_items)), seeding.centroids
+    assigned, centroids, _ = refine_clusters(profile, seeding.centroids, max_iter, n_items)
+    return labels(assigned), centroids
+
+
+def cluster_users(ratings: DataFrame, k: int = 5, refine: bool = True, max_iter: int | None = None, f_scale: str = "global",
+                  m: int | None = None) -> DataFrame:
+    """The labels of `cluster_model`."""
+    return cluster_model(ratings, k, refine, max_iter, f_scale, m)[0]

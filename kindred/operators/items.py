@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import scalar as fx
@@ -59,14 +59,33 @@ def embed_text(items: DataFrame, dims: int = 64, corpus: DataFrame | None = None
     return weights.select("item_id", dense.alias("embedding"))
 
 
-def upsert_items(stored: DataFrame, catalogue: DataFrame,
-                 embed: Callable[[DataFrame], DataFrame] = embed_text) -> DataFrame:
-    """Stored items plus the catalogue's new ones, embedded. Only new items are embedded.
+def new_items(stored: DataFrame, catalogue: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None,
+              dims: int = 64) -> DataFrame:
+    """(item_id, embedding) of the catalogue's items that are not stored yet, each once; only these are embedded.
 
-    `embed` maps (item_id, name) to (item_id, embedding); pass your own model here.
+    `embed` maps (item_id, name) to (item_id, embedding); pass your own model here. The default weighs terms
+    by their frequency in the whole catalogue, so that one new item is embedded like many. An item without
+    an embedding (an empty name, or only terms that every item has) gets the zero vector of `dims`.
     """
-    new = catalogue.select("item_id", "name").distinct().join(stored.select("item_id"), "item_id", "left_anti")
-    fresh = new.join(embed(new), "item_id").select("item_id", F.col("embedding").cast("array<double>"), F.lit(True).alias("is_new"))
+    catalogue = catalogue.groupBy("item_id").agg(F.min("name").alias("name"))
+    new = catalogue.join(stored.select("item_id"), "item_id", "left_anti")
+    made = embed(new) if embed else embed_text(new, dims, corpus=catalogue)
+    return new.select("item_id").join(made.select("item_id", F.col("embedding").cast("array<double>")), "item_id", "left").select(
+        "item_id", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dims)).alias("embedding"))
+
+
+def append_items(spark: SparkSession, path: str, catalogue: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None,
+                 dims: int = 64) -> None:
+    """Append the catalogue's new items to a parquet store of (item_id, embedding)."""
+    stored = spark.read.parquet(path)
+    fresh = store(new_items(stored, catalogue, embed, dims), "new-items")
+    fresh.write.mode("append").parquet(path)
+
+
+def upsert_items(stored: DataFrame, catalogue: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None,
+                 dims: int = 64) -> DataFrame:
+    """Stored items plus the catalogue's new ones, embedded as in `new_items`."""
+    fresh = new_items(stored, catalogue, embed, dims).withColumn("is_new", F.lit(True))
     old = stored.select("item_id", F.col("embedding").cast("array<double>"), F.lit(False).alias("is_new"))
     return old.unionByName(fresh)
 

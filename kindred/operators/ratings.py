@@ -90,7 +90,7 @@ def dense_matrix(ratings: DataFrame, block_width: int = 1024) -> DataFrame:
               .groupBy("block").agg(F.array_sort(F.collect_list("item_id")).alias("items")))
     rated = (by_block.groupBy("user_id", "block")
              .agg(F.map_from_entries(F.collect_list(F.struct("item_id", "rating"))).alias("rated")))
-    span = blocks.agg(F.sequence(F.min("block"), F.max("block"))).scalar()
+    span = blocks.agg(F.collect_list("block")).scalar()  # blocks that hold items, however far apart the ids lie
     grid = avg_rating(ratings).withColumn("block", F.explode(span)).join(blocks, "block")
     cell = lambda i: F.struct(i.alias("item_id"),
                               F.coalesce(F.try_element_at("rated", i), F.col("avg_rating")).alias("value"))

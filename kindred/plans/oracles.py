@@ -298,10 +298,12 @@ SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS reca
   FROM hits QUALIFY rank <= 3""",
     "text_weights": _with(_weights()) + "SELECT item_id, slot, round(weight, 6) AS weight FROM weights",
     "embed_text": _with(_weights()) + "SELECT item_id, slot, round(weight, 6) AS weight FROM weights",
-    "upsert_items": _with(_weights("WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")) + f"""
-SELECT vec_id AS item_id, false AS is_new, CAST(len(embedding) AS INTEGER) AS n_dims,
-  round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 5) AS length FROM embeddings
-UNION ALL SELECT item_id, true, {DIMS}, round(sqrt(sum(weight * weight)), 5) FROM weights GROUP BY item_id""",
+    "upsert_items": _with(_weights()) + f"""
+SELECT vec_id AS item_id, false AS is_new, CAST(unnest(range(len(embedding))) AS INTEGER) AS slot,
+  round(unnest(CAST(embedding AS DOUBLE[])), 6) AS value FROM embeddings
+UNION ALL SELECT d.item_id, true, s.slot, round(coalesce(weight, 0), 6)
+  FROM docs d, (SELECT CAST(unnest(range({DIMS})) AS INTEGER) AS slot) s LEFT JOIN weights w ON w.item_id = d.item_id AND w.slot = s.slot
+  WHERE d.item_id NOT IN (SELECT vec_id FROM embeddings)""",
 
     "sessions": _with(SESSIONS) + """SELECT session_id, user_id, created_at, count(action) AS n_actions,
   count(CASE WHEN event_type = 'signup' THEN 1 END) AS n_searches FROM ev GROUP BY ALL""",

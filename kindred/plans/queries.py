@@ -444,10 +444,13 @@ def embed_text(spark, d):
 
 @query
 def upsert_items(spark, d):
-    stock = tables.items(spark, d)
-    found = items.upsert_items(stock, tables.documents(spark, d), lambda new: items.embed_text(new, DIMS))
-    return found.select("item_id", "is_new", F.size("embedding").alias("n_dims"),
-                        F.round(fx.norm(F.col("embedding")), 5).alias("length"))
+    path = work_path(spark, "items")
+    tables.items(spark, d).select("item_id", F.col("embedding").cast("array<double>")).write.parquet(path)
+    known = spark.read.parquet(path).select("item_id", F.lit(False).alias("is_new"))
+    known = store(known, "known")
+    items.append_items(spark, path, tables.documents(spark, d), dims=DIMS)
+    found = spark.read.parquet(path).join(known, "item_id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
+    return _round(found.select("item_id", "is_new", F.posexplode("embedding").alias("slot", "value")), "value")
 
 
 # --- sessions --------------------------------------------------------------------------------

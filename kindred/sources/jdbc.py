@@ -27,7 +27,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict, mode: str
                batch_rows: int = 10_000, connections: int = 32) -> None:
     """Append rows, or replace them (mode='overwrite'; truncate keeps the table's definition).
 
-    The number of writing tasks is limited to what a database takes as connections.
+    The number of writing tasks is limited to what a database takes as connections; what made the rows is not.
     """
-    (df.coalesce(connections).write.option("batchsize", batch_rows).option("truncate", str(truncate).lower())
+    (df.repartition(connections).write.option("batchsize", batch_rows).option("truncate", str(truncate).lower())
      .jdbc(url, table, mode=mode, properties=properties))

@@ -39,15 +39,20 @@ def test_refinement_equals_dense_rounds(many, monkeypatch):
     vectors = dense(many.collect())
     centroids = {0: vectors[1], 1: vectors[2], 2: vectors[3]}
     start = clustering.pick_centroid(profile, clustering._seed_frame(many.sparkSession, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]))
-    cost = []
-    for _ in range(3):
+    cost, before = [], None
+    while True:
         label = {u: min(centroids, key=lambda c: (distance(v, centroids[c]), c)) for u, v in vectors.items()}
+        if label == before:
+            break
+        before = label
         cost.append(sum(distance(v, centroids[label[u]]) ** 2 for u, v in vectors.items()))
         for c in centroids:
             mine = [vectors[u] for u in vectors if label[u] == c]
             centroids[c] = [sum(x) / len(mine) for x in zip(*mine)]
-    label = {u: min(centroids, key=lambda c: (distance(v, centroids[c]), c)) for u, v in vectors.items()}
-    assigned, _, rounds = clustering.refine_clusters(profile, start, max_iter=3)
+    assigned, _, rounds = clustering.refine_clusters(profile, start)
+    assert rounds == len(cost) > 1
+    with pytest.raises(RuntimeError):
+        clustering.refine_clusters(profile, start, max_iter=1)
     assert {r.user_id: r.ordinal for r in assigned.collect()} == label
     assert cost == sorted(cost, reverse=True)
 

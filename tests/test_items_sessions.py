@@ -118,3 +118,16 @@ def test_expressions(spark):
         fx.euclidean(F.array(F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("uneven"),
         fx.round_to(F.lit(-1.2345), 2).alias("r"), fx.clamp(F.lit(7.0), 1, 5).alias("c")).first()
     assert row.zero is None and row.five == 5.0 and row.uneven is None and row.r == -1.23 and row.c == 5.0
+
+
+def test_one_new_item_and_an_empty_name_are_not_lost(spark, tmp_path):
+    path = str(tmp_path / "items")
+    spark.createDataFrame([(1, [1.0] * 64)], "item_id long, embedding array<double>").write.parquet(path)
+    catalogue = spark.createDataFrame([(1, "old one"), (2, "new thing"), (3, "")], "item_id long, name string")
+    alone = {r.item_id: r.embedding for r in items.new_items(spark.read.parquet(path), catalogue.where("item_id = 2")).collect()}
+    assert alone == {2: [0.0] * 64}
+    items.append_items(spark, path, catalogue)
+    items.append_items(spark, path, catalogue)
+    found = {r.item_id: r.embedding for r in spark.read.parquet(path).collect()}
+    assert sorted(found) == [1, 2, 3] and spark.read.parquet(path).count() == 3
+    assert found[3] == [0.0] * 64 and sum(x * x for x in found[2]) == pytest.approx(1.0)

@@ -70,3 +70,17 @@ def test_clusters_and_neighbours_are_read_back(spark, ratings, tmp_path):
 def test_conform_names_what_is_missing(spark):
     with pytest.raises(ValueError, match="rating"):
         schemas.conform(spark.createDataFrame([(1, 2, 3)], "user_id long, item_id long, ts long"), schemas.RATINGS)
+
+
+def test_malformed_lines_are_kept_apart(spark, tmp_path):
+    path = tmp_path / "kv"
+    path.mkdir()
+    (path / "part").write_text("1;2\t5;100\nx;2\t5;100\n1\t5;100\n1;3\t4\n2;2\t3.5;7\n")
+    assert sorted(map(tuple, text.read_ratings_kv(spark, str(path)).collect())) == [(1, 2, 5.0, 100), (2, 2, 3.5, 7)]
+    assert text.malformed_ratings_kv(spark, str(path)).count() == 3
+
+
+def test_dense_matrix_of_ids_far_apart(spark):
+    far = spark.createDataFrame([(1, 1, 5.0, 0), (1, 10 ** 11, 3.0, 0), (2, 1, 1.0, 0)], "user_id long, item_id long, rating double, ts long")
+    cells = {(r.user_id, c.item_id): c.value for r in rt.dense_matrix(far).collect() for c in r.cells}
+    assert cells == {(1, 1): 5.0, (1, 10 ** 11): 3.0, (2, 1): 1.0, (2, 10 ** 11): 1.0}
