@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kindred.functions import scalar as fx
 from kindred.operators.items import search_items_vector
 from kindred.operators.recommend import predict_ratings, recommend_top_n
+from kindred.session import store
 
 
 def sessionize(events: DataFrame, gap_seconds: int) -> DataFrame:
@@ -97,18 +98,23 @@ def split_rated(candidates: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def recommend_from_sessions(sessions: DataFrame, activity: DataFrame, searches: DataFrame, items: DataFrame,
                             query_vectors: Callable[[DataFrame], DataFrame], ratings: DataFrame,
-                            similarity: DataFrame, hits: int = 20, n: int = 10, n_sessions: int = 4) -> DataFrame:
+                            similarity: DataFrame | Callable[[DataFrame], DataFrame], hits: int = 20, n: int = 10,
+                            n_sessions: int = 4) -> DataFrame:
     """Recent items x latest searches -> candidates -> unrated ones -> predicted top n.
 
+    `similarity` may be a function of the users (user_id) that have candidates, so that only theirs are scored.
+
     `query_vectors` turns distinct search contents (content) into (content, vector); users with
     the same search share one lookup.
     """
     seen = recent_session_items(sessions, activity, n_sessions)
-    asked = latest_searches(sessions, searches).select("user_id", "content")
-    queries = query_vectors(asked.select("content").distinct()).withColumnRenamed("content", "query_id")
+    asked = store(latest_searches(sessions, searches).select("user_id", "content"), "asked")
+    queries = store(query_vectors(asked.select("content").distinct()).withColumnRenamed("content", "query_id"), "queries")
     found = search_items_vector(queries, items, hits).select(F.col("query_id").alias("content"), "item_id")
     ranked = rank_candidates(seen, asked.join(found, "content"), items, n)
-    wanted = exclude_rated(ranked.select("user_id", "item_id"), ratings)
+    wanted = store(exclude_rated(ranked.select("user_id", "item_id"), ratings), "wanted")
+    if callable(similarity):
+        similarity = similarity(wanted.select("user_id").distinct())
     return recommend_top_n(predict_ratings(wanted, ratings, similarity), n)
 
 

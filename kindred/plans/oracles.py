@@ -73,13 +73,13 @@ f AS (SELECT user_id, CAST(count(*) + count(DISTINCT rating) AS BIGINT) AS f FRO
 m AS (SELECT CAST(floor(count(*) / %d / 1.5) AS BIGINT) + 1 AS m FROM a)""" % K
 
 
-def _seeds(count: int = K, members: bool = False) -> str:
+def _seeds(count: int = K, members: bool = False, scale: str = "f") -> str:
     """seed0..: the chosen users; near0..: distances of the pool to each seed, ranked."""
     ctes = ["seed0 AS MATERIALIZED (SELECT user_id, CAST(f AS DOUBLE) AS score FROM f ORDER BY f DESC, user_id LIMIT 1)"]
     pool = "f"
     for t in range(count):
         if t and t < count:
-            ctes.append(f"""seed{t} AS MATERIALIZED (SELECT user_id, f / (SELECT max(f) FROM f)
+            ctes.append(f"""seed{t} AS MATERIALIZED (SELECT user_id, f / (SELECT max(f) FROM {scale.replace("{t}", str(t))})
   + d / (SELECT max(d) FROM pool{t}) AS score FROM pool{t} ORDER BY score DESC, user_id LIMIT 1)""")
         if t < count - 1 or members:
             ctes.append(f"""near{t} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d, user_id) AS k FROM (
@@ -225,6 +225,8 @@ ORACLES = {
     "stranger_scores": _with(R, A) + "SELECT user_id AS user_v, round(1 / (1 + 1.0 / n), 6) AS stranger FROM a",
     "similarity_of_zero": _with(R, _sim("r"), ASKED)
     + "SELECT user_u, user_v, round(coalesce(mfps, 0.0), 6) AS mfps FROM asked LEFT JOIN s USING (user_u, user_v)",
+    "similarity_of_drop": _with(R, _sim("r"), ASKED)
+    + "SELECT user_u, user_v, round(mfps, 6) AS mfps FROM asked JOIN s USING (user_u, user_v)",
     "similarity_of_skip": _with(R, A, _sim("r"), ASKED) + """SELECT user_u, user_v, round(coalesce(mfps, 1 / (1 + 1.0 / a.n)), 6) AS mfps
   FROM asked JOIN a ON a.user_id = user_v LEFT JOIN s USING (user_u, user_v)""",
 
@@ -246,6 +248,19 @@ c AS (SELECT user_id, coalesce(rec_n.n, 0) AS n_recommended, rel_n.n AS n_releva
 SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS recall,
   round(CASE WHEN n_hit > 0 THEN 2 * (n_hit / 5) * (n_hit / n_relevant) / (n_hit / 5 + n_hit / n_relevant) ELSE 0.0 END, 6) AS f1
   FROM c""",
+    "evaluate_user_range": _predict() + """, rec AS (SELECT user_id, item_id, row_number() OVER (
+  PARTITION BY user_id ORDER BY round(prediction, 8) DESC, item_id) AS rank FROM p QUALIFY rank <= 5),
+rel AS (SELECT t.user_id, t.item_id FROM test t JOIN ta USING (user_id) WHERE t.rating >= ta.m),
+rel_n AS (SELECT user_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS ids FROM rel GROUP BY user_id),
+rec_n AS (SELECT user_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY rank) AS ids FROM rec GROUP BY user_id),
+hit_n AS (SELECT user_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY rank) AS ids
+  FROM rec JOIN rel USING (user_id, item_id) GROUP BY user_id),
+c AS (SELECT user_id, coalesce(rec_n.n, 0) AS n_recommended, rel_n.n AS n_relevant, coalesce(hit_n.n, 0) AS n_hit,
+  coalesce(rec_n.ids, '') AS recommended, rel_n.ids AS relevant_items, coalesce(hit_n.ids, '') AS hits
+  FROM rel_n LEFT JOIN rec_n USING (user_id) LEFT JOIN hit_n USING (user_id))
+SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS recall,
+  round(CASE WHEN n_hit > 0 THEN 2 * (n_hit / 5) * (n_hit / n_relevant) / (n_hit / 5 + n_hit / n_relevant) ELSE 0.0 END, 6) AS f1
+  FROM c WHERE user_id BETWEEN 100 AND 600""",
     "rating_errors": _predict() + """SELECT user_id, item_id, round(prediction, 6) AS prediction, rating,
   round((prediction - rating) * (prediction - rating), 6) AS sq_err FROM p JOIN test USING (user_id, item_id)""",
     "evaluate_rating_error": _predict() + """SELECT count(*) AS n, round(sqrt(avg((prediction - rating) * (prediction - rating))), 6) AS rmse,
@@ -253,8 +268,7 @@ SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS reca
 
     "user_profile": _with(R, A) + "SELECT user_id, round(m, 6) AS base, item_id, round(rating - m, 6) AS dev FROM r JOIN a USING (user_id)",
     "dense_matrix": _with(R, A, DENSE) + f"SELECT user_id, CAST(floor(item_id / 1024) AS BIGINT) AS block, {CELL_SUMS} FROM x GROUP BY ALL",
-    "packed_matrix_roundtrip": _with(R) + """SELECT user_id, item_id, rating AS value, label FROM r
-  JOIN (SELECT user_id, CAST(min(rating) AS BIGINT) AS label FROM r GROUP BY user_id) USING (user_id)""",
+    "packed_matrix_roundtrip": _with(*CLUSTERED) + "SELECT user_id, item_id, round(v, 6) AS value, label FROM x JOIN refined USING (user_id)",
     "pick_centroid": _with(R, A, TOP) + """SELECT user_id AS label, round(m, 6) AS base, item_id, round(rating - m, 6) AS dev
   FROM r JOIN a USING (user_id) JOIN top USING (user_id)""",
     "distance_to_centroid": _with(*FIRST) + "SELECT user_id, round(d, 5) AS distance FROM near0",
@@ -262,6 +276,7 @@ SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS reca
     "discard_users": _with(*FIRST) + "SELECT user_id, f AS importance FROM pool1",
     "seed_score": _with(*FIRST) + """SELECT user_id, f AS importance, round(d, 5) AS distance,
   round(f / (SELECT max(f) FROM f) + d / (SELECT max(d) FROM pool1), 5) AS score FROM pool1""",
+    "seed_centroids_pool": _with(R, A, DENSE, _seeds(scale="pool{t}")) + "SELECT ordinal, label, round(score, 5) AS score FROM seeds",
     "seed_centroids": _with(R, A, DENSE, _seeds()) + "SELECT ordinal, label, round(score, 5) AS score FROM seeds",
     "seed_labels": _with(R, A, DENSE, _seeds(members=True), _rounds(0)) + ", taken AS ("
     + " UNION ALL ".join(f"SELECT user_id, (SELECT user_id FROM seed{t}) AS label FROM near{t} WHERE k <= (SELECT m FROM m)"
@@ -284,6 +299,8 @@ SELECT *, round(n_hit / 5, 6) AS precision, round(n_hit / n_relevant, 6) AS reca
   FROM embeddings WHERE vec_id IN (SELECT item_id FROM r0)""",
     "item_knn": _with(VECTORS, "q AS (SELECT item_id AS query_id, e FROM vec)", _knn("q", 21, "near"))
     + "SELECT query_id AS item_id, item_id AS item_rec, round(score, 2) AS score FROM near WHERE query_id <> item_id",
+    "item_knn_without_copies": _with(VECTORS, "q AS (SELECT item_id AS query_id, e FROM vec)", _knn("q", 21, "near"))
+    + "SELECT query_id AS item_id, item_id AS item_rec, round(score, 2) AS score FROM near WHERE query_id <> item_id AND round(score, 2) <> 1",
     "search_items_vector": _with(VECTORS, CONTENTS,
                                  "q AS (SELECT CAST(k AS VARCHAR) AS query_id, e FROM contents JOIN vec ON item_id = k)",
                                  _knn("q", 20, "near"))
@@ -310,6 +327,8 @@ UNION ALL SELECT d.item_id, true, s.slot, round(coalesce(weight, 0), 6)
     "recent_session_items": _with(SESSIONS, RECENT) + "SELECT *, count(*) AS times FROM recent GROUP BY ALL",
     "latest_searches": _with(SESSIONS, LATEST) + "SELECT * FROM latest",
     "rank_candidates": _with(*RANKED) + "SELECT user_id, item_id, round(score, 6) AS score, rank FROM ranked",
+    "rank_candidates_ascending": _with(*RANKED[:-1], RANKED[-1].replace("ORDER BY score DESC", "ORDER BY score").replace("max(round", "min(round"))
+    + "SELECT user_id, item_id, round(score, 6) AS score, rank FROM ranked",
     "exclude_rated": _with(*RANKED, R)
     + "SELECT user_id, item_id FROM ranked WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM r)",
     "split_rated": _with(*RANKED, R)
@@ -325,8 +344,11 @@ UNION ALL SELECT d.item_id, true, s.slot, round(coalesce(weight, 0), 6)
     "affected_clusters": _with(*CLUSTERED, CHANGED) + f"SELECT DISTINCT label FROM refined JOIN changed USING (user_id)",
     "mfps_incremental": _with(R, _sim("r"), CHANGED) + f"""SELECT {MFPS_COLUMNS} FROM s
   WHERE user_u IN (SELECT user_id FROM changed) OR user_v IN (SELECT user_id FROM changed)""",
+    "mfps_incremental_few": _with(R, _sim("r"), "few AS (SELECT DISTINCT user_id FROM r WHERE ts = (SELECT max(ts) FROM r))")
+    + f"SELECT {MFPS_COLUMNS} FROM s WHERE user_u IN (SELECT user_id FROM few) OR user_v IN (SELECT user_id FROM few)",
     "merge_similarity": _with(R, _sim("r")) + SCORES,
     "write_neighbours": _with(R, _sim("r")) + SCORES,
+    "neighbours_of_user": _with(R, TOP, _sim("r")) + SCORES + " WHERE user_u = (SELECT user_id FROM top)",
     "write_similarity": _with(R, _sim("r")) + SCORES,
 
     "stream_ratings": _with(R0) + "SELECT DISTINCT user_id, item_id, rating, ts FROM r0",

@@ -186,6 +186,12 @@ def similarity_of_zero(spark, d):
     return _round(similarity.similarity_of(_asked_pairs(clean), similarity.mfps(clean), zero_rc="zero"), "mfps")
 
 
+@query
+def similarity_of_drop(spark, d):
+    clean = tables.ratings_dedup(spark, d)
+    return _round(similarity.similarity_of(_asked_pairs(clean), similarity.mfps(clean), zero_rc="drop"), "mfps")
+
+
 @query
 def similarity_of_skip(spark, d):
     clean = tables.ratings_dedup(spark, d)
@@ -223,6 +229,15 @@ def evaluate_ranking(spark, d):
                   "precision", "recall", "f1")
 
 
+@query
+def evaluate_user_range(spark, d):
+    """Ranking quality of the users 100 to 600 that the training data holds."""
+    predicted, train, test = _predictions(spark, d)
+    predicted, test = (recommend.for_users(x, 100, 600, train) for x in (predicted, test))
+    return _round(recommend.evaluate_ranking(predicted, test, rt.avg_rating(train), 5, with_lists=True),
+                  "precision", "recall", "f1")
+
+
 @query
 def rating_errors(spark, d):
     predicted, _, test = _predictions(spark, d)
@@ -257,13 +272,11 @@ def dense_matrix(spark, d):
 
 @query
 def packed_matrix_roundtrip(spark, d):
-    """Rated cells as labelled text and back; the text of the full matrix has the same form."""
+    """The full mean-filled matrix as text labelled by cluster, and back."""
     clean = tables.ratings_dedup(spark, d)
     path = work_path(spark, "packed")
-    # the label here is the user's lowest rating: any label will do for the format
-    lowest = clean.groupBy("user_id").agg(F.min("rating").cast("bigint").alias("label"))
-    text.write_packed_matrix(rt.rated_cells(clean), path, lowest)
-    return text.read_packed_matrix(spark, path)
+    text.write_packed_matrix(rt.dense_matrix(clean), path, _labels(clean))
+    return _round(text.read_packed_matrix(spark, path), "value")
 
 
 def _first_seed(spark, d):
@@ -312,9 +325,9 @@ def seed_score(spark, d):
                   "distance", "score", places=5)
 
 
-def _seeding(clean):
+def _seeding(clean, f_scale: str = "global"):
     profile = clustering.prepare_profile(clean)
-    return profile, clustering.seed_centroids(profile, rt.importance(clean), CLUSTERS)
+    return profile, clustering.seed_centroids(profile, rt.importance(clean), CLUSTERS, f_scale)
 
 
 @query
@@ -322,6 +335,11 @@ def seed_centroids(spark, d):
     return _round(_seeding(tables.ratings_dedup(spark, d))[1].seeds, "score", places=5)
 
 
+@query
+def seed_centroids_pool(spark, d):
+    return _round(_seeding(tables.ratings_dedup(spark, d), "pool")[1].seeds, "score", places=5)
+
+
 @query
 def seed_labels(spark, d):
     profile, seeding = _seeding(tables.ratings_dedup(spark, d))
@@ -405,6 +423,11 @@ def item_knn(spark, d):
     return items.item_knn(tables.items(spark, d))
 
 
+@query
+def item_knn_without_copies(spark, d):
+    return items.item_knn(tables.items(spark, d), drop_exact=True)
+
+
 def _contents(spark, d):
     return tables.session_tables(spark, d)[2].select("content").distinct()
 
@@ -476,13 +499,13 @@ def latest_searches(spark, d):
     return ss.latest_searches(found, searches)
 
 
-def _ranked(spark, d):
+def _ranked(spark, d, order: str = "desc"):
     found, activity, searches = tables.session_tables(spark, d)
     stock = tables.items(spark, d)
-    asked = ss.latest_searches(found, searches).select("user_id", "content")
-    queries = _content_vectors(spark, d)(asked.select("content").distinct()).withColumnRenamed("content", "query_id")
+    asked = store(ss.latest_searches(found, searches).select("user_id", "content"), "asked")
+    queries = store(_content_vectors(spark, d)(asked.select("content").distinct()).withColumnRenamed("content", "query_id"), "queries")
     hits = items.search_items_vector(queries, stock, 20).select(F.col("query_id").alias("content"), "item_id")
-    return ss.rank_candidates(ss.recent_session_items(found, activity), asked.join(hits, "content"), stock)
+    return ss.rank_candidates(ss.recent_session_items(found, activity), asked.join(hits, "content"), stock, order=order)
 
 
 @query
@@ -490,6 +513,11 @@ def rank_candidates(spark, d):
     return _round(_ranked(spark, d), "score")
 
 
+@query
+def rank_candidates_ascending(spark, d):
+    return _round(_ranked(spark, d, "asc"), "score")
+
+
 @query
 def exclude_rated(spark, d):
     return ss.exclude_rated(_ranked(spark, d).select("user_id", "item_id"), tables.ratings_dedup(spark, d))
@@ -503,8 +531,8 @@ def split_rated(spark, d):
 def _recommended(spark, d):
     found, activity, searches = tables.session_tables(spark, d)
     clean = tables.ratings_dedup(spark, d)
-    # only users with sessions are asked for, so only their pairs are scored
-    scores = incremental.mfps_incremental(clean, found.select("user_id")).select("user_u", "user_v", "mfps")
+    # only users with candidates are asked for, so only their pairs are scored
+    scores = lambda users: incremental.mfps_incremental(clean, users).select("user_u", "user_v", "mfps")
     return ss.recommend_from_sessions(found, activity, searches, tables.items(spark, d), _content_vectors(spark, d),
                                       clean, scores)
 
@@ -560,6 +588,14 @@ def mfps_incremental(spark, d):
     return _round(incremental.mfps_incremental(tables.ratings_dedup(spark, d), _changed(spark, d)), "rt", "mfps")
 
 
+@query
+def mfps_incremental_few(spark, d):
+    """Only the users of the newest ratings changed."""
+    clean = tables.ratings_dedup(spark, d)
+    newest = clean.where(F.col("ts") == clean.agg(F.max("ts")).scalar())
+    return _round(incremental.mfps_incremental(clean, incremental.changed_users(newest)), "rt", "mfps")
+
+
 @query
 def merge_similarity(spark, d):
     """Stored scores of the older ratings, refreshed for changed users: equal to a full recompute."""
@@ -577,6 +613,15 @@ def write_neighbours(spark, d):
     return _round(stores.read_neighbours(spark, path), "mfps")
 
 
+@query
+def neighbours_of_user(spark, d):
+    """The stored scores of the most important user, read from that user's folder."""
+    path, clean = work_path(spark, "neighbours"), tables.ratings_dedup(spark, d)
+    stores.write_neighbours(similarity.mfps(clean), path)
+    user = rt.top_user(rt.importance(clean), "importance").first()["user_id"]
+    return _round(stores.read_neighbours(spark, path, user=user), "mfps")
+
+
 @query
 def write_similarity(spark, d):
     path = work_path(spark, "similarity")

@@ -12,8 +12,7 @@ from kindred.session import store
 
 SESSION_GAP_SECONDS = 6 * 3600
 # Ratings up to this day are the stored training data, later ones are new reviews / the test set.
-MARK = "2000-12-01"
-MARK_EPOCH = 975628800
+MARK_EPOCH = 975628800  # 2000-12-01
 # Event types that stand for a session action, and the one that stands for a search.
 ACTIONS = {"click": 0, "purchase": 1, "view": 2}
 SEARCH_EVENT = "signup"
@@ -80,7 +79,7 @@ def activity_of(events: DataFrame) -> DataFrame:
 
 def session_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions, session activity and searches, from events cut at six idle hours."""
-    events = sessionize(_events(spark, sf_dir), SESSION_GAP_SECONDS)
+    events = store(sessionize(_events(spark, sf_dir), SESSION_GAP_SECONDS), "session-events")
     sessions = events.select("session_id", "user_id", "created_at").distinct()
     activity = activity_of(events).select("session_id", "action", "item_id")
     searches = (events.where(F.col("event_type") == SEARCH_EVENT)
