@@ -58,9 +58,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_made = {"folders": [], "tables": []}
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made["folders"].append(f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made["folders"][-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the work folders and tables this process made; results that still read them are lost.
+
+    Call it when a job's results are written.
+    """
+    for table in _made["tables"]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for folder in _made["folders"]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made["tables"].clear()
+    _made["folders"].clear()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -88,6 +106,7 @@ def store_bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"kindred_{name}_{uuid.uuid4().hex}"
+    _made["tables"].append(table)
     (df.repartition(buckets, *columns).write.bucketBy(buckets, *columns)
      .option("path", work_path(spark, name)).saveAsTable(table))
     return spark.table(table)

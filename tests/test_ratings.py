@@ -84,3 +84,17 @@ def test_dense_matrix_of_ids_far_apart(spark):
     far = spark.createDataFrame([(1, 1, 5.0, 0), (1, 10 ** 11, 3.0, 0), (2, 1, 1.0, 0)], "user_id long, item_id long, rating double, ts long")
     cells = {(r.user_id, c.item_id): c.value for r in rt.dense_matrix(far).collect() for c in r.cells}
     assert cells == {(1, 1): 5.0, (1, 10 ** 11): 3.0, (2, 1): 1.0, (2, 10 ** 11): 1.0}
+
+
+def test_release_removes_what_was_stored(spark, ratings):
+    import os
+    from kindred import session
+    kept = dict(folders=list(session._made["folders"]), tables=list(session._made["tables"]))
+    session._made["folders"].clear(), session._made["tables"].clear()
+    session.store(ratings, "gone")
+    table = session.store_bucketed(ratings, "gone", "user_id")
+    folders, names = list(session._made["folders"]), list(session._made["tables"])
+    assert table.count() == 10 and all(os.path.isdir(f) for f in folders)
+    session.release(spark)
+    assert not any(os.path.exists(f) for f in folders) and not any(spark.catalog.tableExists(n) for n in names)
+    session._made.update(kept)
