@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import arrow
-from kindred.llm.vocabulary import WordTable, word_vocabulary
+from kindred.llm.vocabulary import ChunkTable, word_vocabulary
 from kindred.session import store
 
 TASK_ITEMS = 100_000
@@ -30,11 +30,11 @@ SLACK = 2
 
 
 @lru_cache(maxsize=1)
-def _table(path: str) -> WordTable:
+def _table(path: str) -> ChunkTable:
     """Ids of chunks as bytes, kept while the Python worker lives."""
     vocabulary = word_vocabulary(path)
     tokenize = vocabulary.tokenizer.model.tokenize
-    return WordTable(lambda chunk: array("I", [t.id for w in vocabulary.words(chunk) for t in tokenize(w)]).tobytes())
+    return ChunkTable(lambda chunk: array("I", [t.id for w in vocabulary.words(chunk) for t in tokenize(w)]).tobytes())
 
 
 def _pieces(path: str, size: int, end: int, with_ids: bool):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import arrow
-from kindred.llm.vocabulary import WordTable, word_vocabulary
+from kindred.llm.vocabulary import ChunkTable, word_vocabulary
 
 
 class MergeCounter:
@@ -76,10 +76,10 @@ class MergeCounter:
 
 
 @lru_cache(maxsize=1)
-def _table(path: str) -> WordTable:
+def _table(path: str) -> ChunkTable:
     """Counts of chunks, kept while the Python worker lives."""
     vocabulary, counter = word_vocabulary(path), MergeCounter(path)
-    return WordTable(lambda chunk: sum(map(counter.count, vocabulary.words(chunk))))
+    return ChunkTable(lambda chunk: sum(map(counter.count, vocabulary.words(chunk))))
 
 
 def _counts(path: str, limit: int):

@@ -77,16 +77,38 @@ def word_vocabulary(path: str) -> WordVocabulary:
 
 
 class WordTable(dict):
-    """What `value` makes of a chunk, kept for chunks seen; emptied at `most` entries."""
+    """What `value` makes of a chunk, kept for chunks seen: two generations of at most `most` entries.
 
-    def __init__(self, value: Callable[[str], object], most: int = 300_000):
+    When the newer one is full it becomes the older one, from which chunks come back when they are
+    met again; what was not met for a whole generation is forgotten.
+    """
+
+    def __init__(self, value: Callable[[str], object], most: int = 200_000):
         super().__init__()
-        self.value, self.most = value, most
+        self.value, self.most, self.older = value, most, {}
 
     def __missing__(self, chunk: str):
-        found = self.value(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.value(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found
+
+
+class ChunkTable(WordTable):
+    """A table of chunks between white space whose values add up over the words of a chunk.
+
+    A word before a punctuation mark is looked up as the word and the mark, so that it is worked out once.
+    """
+
+    def __missing__(self, chunk: str):
+        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() and not _BEYOND_LATIN.search(chunk):
+            found = self[chunk[:-1]] + self[chunk[-1]]
+            if len(self) < self.most:
+                self[chunk] = found
+            return found
+        return super().__missing__(chunk)
