@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import arrow
 from kindred.llm.shingles import mix
+from kindred.llm.vocabulary import forget
 
 DIMS = 4096
 ROWS = 128
@@ -66,6 +67,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(batches):
     """Rows in blocks of at most ROWS, with their features; null texts as empty ones."""
+    forget()
     for batch in batches:
         for part in arrow.pieces(batch, "text"):
             for start in range(0, part.num_rows, ROWS):

@@ -76,6 +76,16 @@ def word_vocabulary(path: str) -> WordVocabulary:
     return WordVocabulary(path)
 
 
+_tables: list[WordTable] = []
+
+
+def forget() -> None:
+    """Empty the tables of this Python worker: it serves task after task, and the next ones may not need them."""
+    for table in _tables:
+        table.older = {}
+        table.clear()
+
+
 class WordTable(dict):
     """What `value` makes of a chunk, kept for chunks seen: two generations of at most `most` entries.
 
@@ -86,6 +96,7 @@ class WordTable(dict):
     def __init__(self, value: Callable[[str], object], most: int = 200_000):
         super().__init__()
         self.value, self.most, self.older = value, most, {}
+        _tables.append(self)
 
     def __missing__(self, chunk: str):
         found = self.older.get(chunk)
