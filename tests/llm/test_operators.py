@@ -62,10 +62,12 @@ def sets_of(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "percent", "hot", "block"), [(3, 90, 64, 256), (5, 80, 64, 256), (3, 90, 4, 16)])
-def test_ngram_join_equals_all_pairs(odd, monkeypatch, size, percent, hot, block):
+@pytest.mark.parametrize(("size", "percent", "hot", "block", "members"),
+                         [(3, 90, 64, 256, 10**6), (5, 80, 64, 256, 10**6), (3, 90, 4, 16, 10**6), (5, 80, 4, 256, 100)])
+def test_ngram_join_equals_all_pairs(odd, monkeypatch, size, percent, hot, block, members):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "COLUMNS", 64 if block == 16 else 4096)
     rows = [r for r in odd.collect()]
     sets = sets_of(rows, size)
