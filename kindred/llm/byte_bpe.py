@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from tokenizers import models
 
 from kindred.llm import arrow
-from kindred.llm.vocabulary import WordTable, byte_symbols
+from kindred.llm.vocabulary import WordTable, byte_symbols, kept
 
 
 class ByteCodec:
@@ -68,7 +67,7 @@ class ByteCodec:
         return character[starts], character[ends - 1] + 1
 
 
-@lru_cache(maxsize=2)
+@kept
 def codec(path: str, pattern: str) -> ByteCodec:
     """Built once per Python worker."""
     return ByteCodec(path, pattern)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import arrow
-from kindred.llm.vocabulary import ChunkTable, word_vocabulary
+from kindred.llm.vocabulary import ChunkTable, kept, word_vocabulary
 from kindred.session import store
 
 TASK_ITEMS = 100_000
@@ -29,7 +28,7 @@ FAN = 8
 SLACK = 2
 
 
-@lru_cache(maxsize=1)
+@kept
 def _table(path: str) -> ChunkTable:
     """Ids of chunks as bytes, kept while the Python worker lives."""
     vocabulary = word_vocabulary(path)

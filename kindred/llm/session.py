@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from kindred import session
 
-# Texts are large rows: small Arrow batches keep Python workers small.
-ARROW_ROWS = "1000"
+# Texts are large rows: Arrow batches of few rows and bytes keep executors and Python workers small.
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 FILTER_BITS = 1 << 25
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """The library's runtime settings, and Arrow batches of few rows; safe to call repeatedly."""
+    """The library's runtime settings, and small Arrow batches; safe to call repeatedly."""
     session.prepare(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, value in ARROW_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

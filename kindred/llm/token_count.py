@@ -9,7 +9,6 @@ word's count is its initial symbols minus the merges done.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import arrow
-from kindred.llm.vocabulary import ChunkTable, word_vocabulary
+from kindred.llm.vocabulary import ChunkTable, kept, word_vocabulary
 
 
 class MergeCounter:
@@ -75,7 +74,7 @@ class MergeCounter:
         return left
 
 
-@lru_cache(maxsize=1)
+@kept
 def _table(path: str) -> ChunkTable:
     """Counts of chunks, kept while the Python worker lives."""
     vocabulary, counter = word_vocabulary(path), MergeCounter(path)
