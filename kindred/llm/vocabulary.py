@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import json
 from collections.abc import Callable
 from functools import lru_cache
 
-import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -18,28 +15,6 @@ _BEYOND_LATIN = regex.compile("[^\\x00-\u024f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 
 
-_kept: list = []
-
-
-def kept(load):
-    """Results of `load` are kept while the Python worker lives, until `forget`."""
-    cached = lru_cache(maxsize=2)(load)
-    _kept.append(cached)
-    return cached
-
-
-def forget() -> None:
-    """Drop what is kept in this Python worker (it serves task after task) and give its memory back to the system."""
-    if any(cached.cache_info().currsize for cached in _kept):
-        for cached in _kept:
-            cached.cache_clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
-
-
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies.
 
@@ -95,12 +70,22 @@ class WordVocabulary:
         return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
 
 
-@kept
+@lru_cache(maxsize=2)
 def word_vocabulary(path: str) -> WordVocabulary:
     """Loaded once per Python worker."""
     return WordVocabulary(path)
 
 
+_tables: list[WordTable] = []
+
+
+def forget() -> None:
+    """Empty the tables of this Python worker: it serves task after task, and the next ones may not need them."""
+    for table in _tables:
+        table.older = {}
+        table.clear()
+
+
 class WordTable(dict):
     """What `value` makes of a chunk, kept for chunks seen: two generations of at most `most` entries.
 
@@ -111,6 +96,7 @@ class WordTable(dict):
     def __init__(self, value: Callable[[str], object], most: int = 200_000):
         super().__init__()
         self.value, self.most, self.older = value, most, {}
+        _tables.append(self)
 
     def __missing__(self, chunk: str):
         found = self.older.get(chunk)
