@@ -1,7 +1,8 @@
 """MinHash document fingerprints: universal hash permutations over word shingles, bands, verified Jaccard.
 
-A signature holds, for each permutation x -> (a x + b) mod 2^64, the smallest upper 16 bits over a
-text's shingles. The share of equal places estimates the Jaccard similarity of two sets.
+A signature holds, for each permutation x -> (a x + b) mod 2^64, 16 scrambled bits of the smallest image
+of a text's shingles. The share of equal places estimates the Jaccard similarity of two sets, whatever their
+size; different minima share a place with probability 2^-16.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(low: np.ndarray) -> np.ndarray:
-    return (low >> np.uint64(48)).astype(np.uint16)
+    """16 bits of each scrambled minimum: its own upper bits are nearly all 0 in a long text. All ones stay so."""
+    return np.where(low == _EMPTY, np.uint64(2**64 - 1), shingles.mix(low)).astype(np.uint16)
 
 
 def signatures(hashes: list[np.ndarray]) -> list[np.ndarray]:

@@ -212,6 +212,25 @@ def test_fingerprints(spark, odd):
     assert fingerprints.edited_fingerprints(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("n", [5_000, 20_000, 100_000])
+def test_fingerprints_of_very_long_texts_estimate_jaccard(spark, n):
+    base, other = ([f"{k}w{i}" for i in range(n)] for k in "ab")
+    rows = [(k, " ".join(other[:n * k // 4] + base[n * k // 4:]), "x") for k in range(5)]
+    sets = sets_of([{"text": t} for _, t, _ in rows], 5)
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    prints = [np.frombuffer(bytes.fromhex(got[k]["fingerprint"]), np.uint16) for k in range(5)]
+    for k in range(5):
+        for j in range(5):
+            true = len(sets[k] & sets[j]) / len(sets[k] | sets[j])
+            assert abs((prints[k] == prints[j]).mean() - true) <= (0.02 if true < 0.001 else 0.16), (k, j)
+    for k, (_, t, _) in enumerate(rows):
+        cut, following = len(t) // 4, rows[(k + 1) % 5][1]
+        new = sets_of([{"text": t[:len(t) - cut] + following[:cut]}], 5)[0]
+        for near, that in (("near_edited", new), ("near_next", sets[(k + 1) % 5])):
+            true = len(sets[k] & that) / len(sets[k] | that)
+            assert abs(got[k][near] - true) <= (0.02 if true < 0.001 else 0.16), (k, near)
+
+
 def test_near_duplicates_by_bands(odd):
     exact = {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_join(odd.where("doc_id is not null")).collect()}
     assert {(r["doc_id"], r["component_id"]) for r in fingerprints.near_duplicates(odd).collect()} == exact
