@@ -38,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the secrets found in each text by a mask; n_chars follows. Texts without any are unchanged."""
+    """Replace the secrets found in each text by a mask, private keys whole; n_chars follows. Texts without any are unchanged."""
     prepare(spark)
-    paths, findings, _ = secret_scan.scan(docs)
+    paths, findings, _ = secret_scan.scan(docs, secret_scan.MASKED)
     spans = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     text = F.coalesce("text", F.lit(""))
     masked = F.aggregate(

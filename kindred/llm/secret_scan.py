@@ -38,6 +38,9 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
     Rule("forge", 1, r"gh[opsru]_[A-Za-z0-9]{36,}", base=False),
 )
+# For masking: a key from its BEGIN line to the END line of the same kind, or to the end of the text if there is none.
+WHOLE_KEY = Rule("pem", 2, r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?s:.*?-----END \1PRIVATE KEY-----|.*)", base=False)
+MASKED = tuple(WHOLE_KEY if r.name == "pem" else r for r in RULES)
 LEDGER = "blob binary, rule string, version int"
 FINDINGS = "blob binary, rule string, version int, start long, end long"
 

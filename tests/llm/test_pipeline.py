@@ -49,6 +49,20 @@ def test_secrets_are_masked_and_the_rest_stays(spark, docs):
     assert all(out[i] == before[i] for i in (1, 2, 3, 4, 5, 6, None))
 
 
+def test_private_keys_are_masked_whole(spark):
+    def key(kind, body, end=None):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind if end is None else end}PRIVATE KEY-----"
+    body = "MIIEpAIBAAKCAQEA7bq\r\n" * 20
+    cases = [(f"a {key('RSA ', body)} b", "a [SECRET] b"), (f"{key('', body)}\n{key('EC ', body)}é", "[SECRET]\n[SECRET]é"),
+             (f"x -----BEGIN PRIVATE KEY-----\n{body}", "x [SECRET]"), (f"x {key('RSA ', body, 'EC ')} y", "x [SECRET]"),
+             (f"x {key('RSA ', key('EC ', body))} y", "x [SECRET] y"), (f"secret = {key('RSA ', body)} z", "[SECRET] z"),
+             (f"😀 {key('', body * 20_000)} w", "😀 [SECRET] w"), ("-----END PRIVATE KEY----- no key", "-----END PRIVATE KEY----- no key")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, (t, _) in enumerate(cases)], COLUMNS)
+    got = {r["doc_id"]: r for r in pipeline.secrets(spark, frame, "").collect()}
+    for i, (_, masked) in enumerate(cases):
+        assert (got[i]["text"], got[i]["n_chars"]) == (masked, len(masked))
+
+
 def test_run_packs_what_the_stages_keep(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = pipeline.run(spark, str(tmp_path)).collect()
