@@ -27,14 +27,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with five-word Jaccard 0.8 or more, the one with the smallest doc_id stays.
+    """Of each component of rows with five-word Jaccard 0.8 or more, the one with the smallest doc_id stays.
 
-    Documents without words, or without doc_id, link with nothing and stay. Rows that repeat a doc_id are one
-    document: they stay or go together.
+    A doc_id with a text is one document: rows that repeat both stay or go together. Other texts under the same doc_id
+    are judged by themselves, and so is each row without doc_id, which comes after those that have one. Rows without
+    words link with nothing and stay. Rows are told apart by a 64-bit hash of doc_id and text, those without
+    doc_id by a stored number; two share a key with probability 2^-64.
     """
     prepare(spark)
-    groups = ngram_join.ngram_join(docs).select(F.col("doc_id").alias("own"), "component_id").where("component_id < own").distinct()
-    return docs.join(groups, docs["doc_id"] == groups["own"], "left_anti")
+    unnamed = store(docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id()), "unnamed")
+    rows = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text")).unionByName(unnamed)
+    linked = store(ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text")).where("n_links > 0")
+                   .select(F.col("doc_id").alias("_row"), "component_id").distinct(), "linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    stay = rows.select("doc_id", "_row").join(linked, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(linked.join(stay, "_row", "left_anti"), "_row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

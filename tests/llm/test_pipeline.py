@@ -42,6 +42,18 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert kept == [0, 1, 3, 4, 5, 6, 7, 7]
 
 
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    base, other, third = (" ".join(f"{k}{w}" for w in WORDS) for k in "xyz")
+    rows = [(1, base), (2, "clean text under the id of a copy"), (2, base + " more"), (None, base), (None, "no id, four times, a copy of itself"),
+            (None, "no id, four times, a copy of itself"), (None, "no id, four times, a copy of itself"), (None, "no id, four times, a copy of itself"),
+            (None, None), (None, ""), (0, other), (0, third), (8, other + " more"), (9, third + " more"), (None, third + " x"), (3, "a b c"), (3, "a b c"),
+            (4, "A b c"), (-5, other + " last")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS).repartition(3)
+    kept = pipeline.near_duplicates(spark, frame, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(
+        [(1, base), rows[1], rows[4], (None, None), (None, ""), (0, third), (3, "a b c"), (3, "a b c"), (-5, other + " last")], key=str)
+
+
 def test_secrets_are_masked_and_the_rest_stays(spark, docs):
     out = {r["doc_id"]: r for r in pipeline.secrets(spark, docs, "").collect()}
     assert out[7]["text"] == "the [SECRET] stays masked; [SECRET] end" and out[7]["n_chars"] == len(out[7]["text"])
