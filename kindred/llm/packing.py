@@ -2,9 +2,9 @@
 
 A document's pieces are items. In a round the items are dealt over tasks; each task packs its own
 by best fit, longest first. Bins with at most SLACK free tokens are final. The others become items of the next
-round, as long as what they hold, dealt over FAN times fewer tasks, so that bins of several tasks
-meet; the last round has one task's worth of items. A round that no longer lowers the number
-of open bins by one in a hundred ends the work, since what is left hardly fits together.
+round, as long as what they hold, dealt anew by another hash, so that bins of several tasks meet. In
+every round a task has about one task's worth of items; the last round has one task. A round that no longer
+lowers the number of open bins by one in a hundred ends the work, since what is left hardly fits together.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from kindred.llm.vocabulary import ChunkTable, word_vocabulary
 from kindred.session import store
 
 TASK_ITEMS = 100_000
-FAN = 8
 SLACK = 2
 
 
@@ -152,7 +151,7 @@ def pack(items: DataFrame, size: int = 2048, task_items: int = TASK_ITEMS) -> Da
         placed = placed.where(~closed)
         level = fits.where(F.col("filled") < size - SLACK).select(F.col("bin").alias("item"), F.col("filled").alias("length")).distinct()
         count, number = ended[1], number + 1
-        tasks = min(max(1, -(-tasks // FAN)), max(1, -(-count // task_items)))
+        tasks = max(1, -(-count // task_items))
     for part in done:
         full = full.unionAll(part)
     return full

@@ -143,6 +143,24 @@ def test_packing_in_rounds_stays_near_the_bound(spark):
     assert len({r["sequence_id"] for r in wide}) == 900
 
 
+def test_packing_keeps_tasks_small_while_many_bins_stay_open(spark, monkeypatch):
+    rounds, keep = [], packing.store
+
+    def kept(df, name):
+        df = keep(df, name)
+        if name == "packed":
+            rounds.append([r["count"] for r in df.groupBy(F.expr("shiftright(bin, 32)")).count().collect()])
+        return df
+    monkeypatch.setattr(packing, "store", kept)
+    # Two of these fill a bin that stays open, so a round leaves half of its items.
+    items = spark.range(6400).selectExpr("id as item", "700 + id * 7919 % 300 as length")
+    placed = packing.pack(items, 2048, task_items=200).join(items, "item").collect()
+    assert len({r["item"] for r in placed}) == len(placed) == 6400
+    check_sequences(placed, 2048)
+    assert len(rounds) > 1 and max(map(max, rounds)) <= 1.5 * 200
+    assert all(len(tasks) == -(-sum(tasks) // 200) for tasks in rounds)
+
+
 def test_token_counts(odd):
     rows = odd.collect()
     expected = Counter((r["doc_id"], len((r["text"] or "").encode()), len(i), len(i) > 2048)
