@@ -65,19 +65,28 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, most: int = 20_000, trees: int = 10, depth: int = 4):
-    """Trees from lexical rows with `label` (1.0 block, 0.0 allow), on about `most` rows chosen by a hash of the url.
+    """Trees from lexical rows with `label` (1.0 block, 0.0 allow), on about `most` distinct urls chosen by hash.
 
+    Each label has half of them, or more where the others have fewer urls; while there are no more than `most`, all are
+    used. A url weighs as many rows as it has, divided by its label's share, so labels weigh as in all rows.
     None if there are not two classes.
     """
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if len([n for k, n in counts.items() if k is not None and n]) < 2:
+    labelled = labelled.where("label is not null")
+    urls = labelled.groupBy("label", "url").agg(F.count("*").alias("copies"))
+    counts = {r["label"]: r["count"] for r in urls.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
-    share = min(1.0, most / sum(counts.values()))
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share * (1 << 30)).na.fill(0.0, FEATURES)
-    rows = store(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label"), "labelled-urls")
+    share, left = F.lit(0.0), most
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda c: c[1])):
+        own = min(n, left // (len(counts) - k))
+        share, left = F.when(F.col("label") == label, own / n).otherwise(share), left - own
+    chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 53)) < share * (1 << 53))
+    sample = (chosen.groupBy("label", "url").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in FEATURES])
+              .withColumn("weight", F.col("copies") / share).na.fill(0.0, FEATURES))
+    rows = store(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label", "weight"), "labelled-urls")
     if rows.select("label").distinct().count() < 2:
         return None
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=11).fit(rows)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=11, weightCol="weight").fit(rows)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

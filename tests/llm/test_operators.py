@@ -307,6 +307,21 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in unlabelled} == {"allow"}
 
 
+def test_url_sample_keeps_a_rare_class_and_its_bound(spark, monkeypatch):
+    kept, keep = [], url_filter.store
+
+    def storing(df, name):
+        df = keep(df, name)
+        kept.extend(df.collect() if name == "labelled-urls" else [])
+        return df
+    monkeypatch.setattr(url_filter, "store", storing)
+    urls = [f"http://a{i}.org/x" for i in range(2000)] + ["http://x.com/de/rare"] + [f"http://hot{i}.org/" for i in range(20) for _ in range(100)]
+    pages = url_filter.lexical(url_filter.ruled(url_filter.parts(spark.createDataFrame([(u,) for u in urls], "url string"))))
+    model = url_filter.fit(pages.withColumn("label", (F.col("rule_verdict") == "block").cast("double")), most=200, trees=1)
+    assert model is not None and {r["label"] for r in kept} == {0.0, 1.0}
+    assert len(kept) <= 300 and [r["weight"] for r in kept if r["label"] == 1] == [1.0]
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(9000, 16)).astype(np.float32)
