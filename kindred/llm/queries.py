@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import byte_bpe, fingerprints, langid, ngram_join, packing, secret_scan, token_count, url_filter, vector_index, warc
+from kindred.llm import byte_bpe, fingerprints, langid, ngram_join, packing, periodic, secret_scan, token_count, url_filter, vector_index, warc
 from kindred.llm.session import prepare
 
 QUERIES = {}
@@ -71,3 +71,8 @@ def op9_warc(spark, d):
 @query
 def op10_token_counts(spark, d):
     return token_count.token_counts(_table(spark, d, "documents"))
+
+
+@query
+def op11_periodic_runs(spark, d):
+    return periodic.run_digests(periodic.periodic_runs(periodic.repeating_tails(_table(spark, d, "documents"))))
