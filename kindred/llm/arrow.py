@@ -57,3 +57,27 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = keys[start]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def packed_words(column: pa.Array, inside: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All runs of bytes that `inside` (256 booleans) allows, and where each text's runs start (one more entry than texts).
+
+    With `lower`, A to Z are lower-cased. Runs do not span texts.
+    """
+    data, bounds = text_bytes(column)
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(len(bounds), np.int64)
+    within = inside[data]
+    starts = within.copy()
+    starts[1:] &= ~within[:-1]
+    heads = bounds[:-1][bounds[:-1] < len(data)]
+    starts[heads] = within[heads]
+    starts = np.flatnonzero(starts)
+    kept = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(within, out=kept[1:])
+    packed = data[within]
+    if lower:
+        packed = packed + ((packed >= 65) & (packed <= 90)).astype(np.uint8) * np.uint8(32)
+    offsets = np.append(kept[starts], kept[-1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    return words, np.searchsorted(starts, bounds)

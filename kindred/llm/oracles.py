@@ -93,6 +93,33 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, CAST(-best.sh
   CAST(-1000 * best.shorter // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
   sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM documents LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_source_divergence": f"""
+WITH told AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWERED} AS text FROM documents),
+words AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM told),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM words GROUP BY lang, source, term),
+terms AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term HAVING sum(docs) >= 3),
+kept AS (SELECT lang, source, term, c.n FROM counts c JOIN terms t USING (lang, term)),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM terms GROUP BY lang),
+grouped AS (
+  SELECT g.lang, g.source, coalesce(any_value(l.v), 0) AS v, coalesce(any_value(l.total), 0) AS lang_total, coalesce(sum(k.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM told) g LEFT JOIN langs l ON l.lang = g.lang LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source
+  GROUP BY g.lang, g.source),
+prices AS (
+  SELECT g.lang, g.source, t.term, coalesce(k.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(k.n, 0) + 1) // (g.total + g.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (t.n + 1) // (g.lang_total + g.v) AS q
+  FROM grouped g JOIN terms t ON t.lang = g.lang LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term),
+distances AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM prices x JOIN prices y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+rated AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(d.value, 0) AS value
+  FROM grouped g JOIN grouped h ON h.lang = g.lang AND h.source <> g.source
+    LEFT JOIN distances d ON d.lang = g.lang AND d.source = g.source AND d.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM prices WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM rated)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
     "op9_warc": """
 WITH told AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h,
