@@ -174,27 +174,9 @@ def stretches(x: np.ndarray, longest: int, numbers: int) -> tuple[np.ndarray, np
     return tuple(np.unique(np.concatenate(found, 1), axis=1))
 
 
-def _packed_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of a column of texts in order, and where each text's words start (one more entry than texts)."""
-    data, bounds = arrow.text_bytes(column)
-    if not len(data):
-        return pa.array([], pa.large_binary()), np.zeros(len(bounds), np.int64)
-    inside = _INSIDE[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    heads = bounds[:-1][bounds[:-1] < len(data)]
-    starts[heads] = inside[heads]
-    starts = np.flatnonzero(starts)
-    kept = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside, out=kept[1:])
-    offsets = np.append(kept[starts], kept[-1])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-    return words, np.searchsorted(starts, bounds)
-
-
 def _runs(least: int):
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        words, bounds = _packed_words(part.column("text"))
+        words, bounds = arrow.packed_words(part.column("text"), _INSIDE)
         n, docs = np.diff(bounds), part.num_rows
         longest = int(n.max(initial=0))
         shifted = bounds[:-1] + np.arange(docs)
