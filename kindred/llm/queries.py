@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import byte_bpe, divergence, fingerprints, langid, ngram_join, packing, periodic, secret_scan, token_count, url_filter, vector_index, warc
+from kindred.llm import byte_bpe, divergence, fingerprints, langid, ngram_join, packing, periodic, pii, secret_scan, token_count, url_filter, vector_index, warc
 from kindred.llm.session import prepare
 
 QUERIES = {}
@@ -78,6 +78,11 @@ def op11_periodic_runs(spark, d):
     return periodic.run_digests(periodic.periodic_runs(periodic.repeating_tails(_table(spark, d, "documents"))))
 
 
+@query
+def op12_personal_data(spark, d):
+    return pii.report(pii.personal_data(_table(spark, d, "documents")))
+
+
 @query
 def op13_source_divergence(spark, d):
     return divergence.divergence(_table(spark, d, "documents"))
