@@ -6,27 +6,36 @@ and so is a mean of profiles. With N items, S the sum and Q the sum of squares o
     |x - c|^2 = N (base_x - base_c)^2 + 2 (base_x - base_c)(S_x - S_c) + Q_x + Q_c - 2 sum_i dev_xi dev_ci
 
 so only the last sum needs a join, on the centroids' items. Centroids are laid side by side, one
-column each: a rating row meets one row, not one per centroid.
+column each: a rating row meets one row, not one per centroid. That table is broadcast; where it is too large for that,
+a prepared profile lies in item ranges, and each range of the centroids is broadcast in turn.
+
+Refinement keeps two bounds per user, one above the distance to the own centroid and one below the
+distance to all others. A centroid's move changes them by at most its length (triangle inequality), so a
+round computes distances only for users whose bounds meet, and adds up only users that changed cluster.
 
 The loops read scalars and one row per centroid on the driver; everything else stays in Spark.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions import scalar as fx
 from kindred.operators.ratings import importance, max_scale, top_user, user_profile
 from kindred.operators.selection import nth_smallest, up_to
-from kindred.session import broadcast_if_small, cut_lineage, store_bucketed
+from kindred.session import BROADCAST_ROWS, cut_lineage, store, store_bucketed
 
 # Ratings of one user that may lie in one partition of a prepared profile.
 SLOT_ROWS = 100_000
 # Numbers the centroids laid side by side may hold to be broadcast (8 bytes each): 32 MB.
 BROADCAST_CELLS = 4_000_000
+# Distances are compared to 6 places; users whose bounds are closer than this are computed.
+MARGIN = 1e-5
+# Up to so many centroids, a round also uses the distances between them.
+PAIRED = 32
 
 
 @dataclass
@@ -38,16 +47,24 @@ class Seeding:
     members: DataFrame
 
 
-def prepare_profile(ratings: DataFrame, averages: DataFrame | None = None) -> DataFrame:
+def prepare_profile(ratings: DataFrame, averages: DataFrame | None = None, k: int = 5) -> DataFrame:
     """Profile for the loops: stored once, bucketed by user, so no round shuffles ratings.
 
-    A user with very many ratings is cut into slots, each a bucket key of its own.
+    A user with very many ratings is cut into slots, each a bucket key of its own. If `k` centroids are too large
+    to be broadcast, the items are dealt into ranges (column `range`, a folder each) whose centroids are not.
     """
     profile = user_profile(ratings, averages)
     parts = ratings.groupBy("user_id").agg(F.ceil(F.count("*") / SLOT_ROWS).alias("parts"))
     slot = F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")
-    return store_bucketed(profile.join(parts, "user_id").withColumn("slot", slot).drop("parts"),
-                          "profile", "user_id", "slot")
+    profile = profile.join(parts, "user_id").withColumn("slot", slot).drop("parts")
+    ranges = math.ceil(count_items(ratings) * (k + 1) / BROADCAST_CELLS)
+    if ranges > 1:
+        return store_bucketed(profile.withColumn("range", _range_of(ranges)), "profile", "user_id", "slot", folders=["range"])
+    return store_bucketed(profile, "profile", "user_id", "slot")
+
+
+def _range_of(ranges: int):
+    return F.pmod(F.xxhash64("item_id", F.lit(11)), F.lit(ranges)).cast("int")
 
 
 def _by_slot(df: DataFrame) -> DataFrame:
@@ -64,40 +81,109 @@ def pick_centroid(profile: DataFrame, seeds: DataFrame) -> DataFrame:
             .select("ordinal", "label", "base", "item_id", "dev"))
 
 
-def _distances(profile: DataFrame, centroids: DataFrame, n_items: int | None):
-    """Users with one distance column per centroid, and the centroids' (ordinal, label)."""
-    n_items = count_items(profile) if n_items is None else n_items
-    heads = (centroids.groupBy("ordinal", "label")
-             .agg(F.max("base").alias("base"), F.sum("dev").alias("s"), F.sum(F.col("dev") * F.col("dev")).alias("q"))
-             .orderBy("ordinal").collect())
-    wide = centroids.groupBy("item_id").agg(*[
-        F.sum(F.when(F.col("ordinal") == h.ordinal, F.col("dev")).otherwise(0.0)).alias(f"c{i}")
-        for i, h in enumerate(heads)])
-    wide = cut_lineage(wide)
-    met = profile.join(broadcast_if_small(wide, BROADCAST_CELLS // (len(heads) + 1)), "item_id", "left")
-    dev = F.col("dev")
-    sums = [F.max("base").alias("base"), F.sum(dev).alias("s"), F.sum(dev * dev).alias("q")]
-    sums += [F.sum(dev * F.coalesce(f"c{i}", F.lit(0.0))).alias(f"dot{i}") for i in range(len(heads))]
-    if "slot" in profile.columns:
-        names = ["s", "q", *[f"dot{i}" for i in range(len(heads))]]
-        users = (met.groupBy("user_id", "slot").agg(*sums).groupBy("user_id")
-                 .agg(F.max("base").alias("base"), *[F.sum(n).alias(n) for n in names]))
+@dataclass
+class Head:
+    """What a centroid's distances need besides its deviations: name, mean, sum, sum of squares.
+
+    Its deviations are the columns laid side by side divided by `n`.
+    """
+    ordinal: int
+    label: int
+    base: float
+    s: float
+    q: float
+    n: float = 1.0
+
+
+def _heads(centroids: DataFrame) -> list[Head]:
+    rows = (centroids.groupBy("ordinal", "label")
+            .agg(F.max("base").alias("base"), F.sum("dev").alias("s"), F.sum(F.col("dev") * F.col("dev")).alias("q"))
+            .orderBy("ordinal").collect())
+    return [Head(r["ordinal"], r["label"], r["base"], r["s"], r["q"]) for r in rows]
+
+
+def _side_by_side(centroids: DataFrame, heads: list[Head]) -> DataFrame:
+    """item_id and the centroids' deviations c0, c1, ... (0 where a centroid has none)."""
+    return centroids.groupBy("item_id").agg(*[
+        F.sum(F.when(F.col("ordinal") == h.ordinal, F.col("dev")).otherwise(0.0)).alias(f"c{i}") for i, h in enumerate(heads)])
+
+
+def _products(profile: DataFrame, wide: DataFrame, k: int, n_items: int, carry: tuple = ()) -> DataFrame:
+    """Per user base, s, q and the products dot0, dot1, ... with the columns c0, c1, ... of `wide` (stored).
+
+    Columns in `carry` hold one value per user. Whether `wide` is broadcast follows from the number of its cells.
+    """
+    sums = {"s": "sum(dev)", "q": "sum(dev * dev)"} | {f"dot{i}": f"sum(dev * coalesce(c{i}, 0D))" for i in range(k)}
+    same = [F.max(c).alias(c) for c in ("base", *carry)]
+    keys = ["user_id", "slot"] if "slot" in profile.columns else ["user_id"]
+
+    def met(rows, centroids):
+        return rows.join(centroids, "item_id", "left").groupBy(*keys).agg(*same, *[F.expr(v).alias(n) for n, v in sums.items()])
+    wide = wide.select("item_id", *[f"c{i}" for i in range(k)])
+    if "range" in profile.columns:
+        # Each range is a job of its own: its centroids leave memory before the next one's come.
+        ranges = 1 + (profile.agg(F.max("range")).first()[0] or 0)
+        parts = [store(met(profile.where(F.col("range") == r), F.broadcast(wide.where(_range_of(ranges) == r))), "products")
+                 for r in range(ranges)]
+        users = parts[0]
+        for part in parts[1:]:
+            users = users.unionByName(part)
     else:
-        users = met.groupBy("user_id").agg(*sums)
+        users = met(profile, F.broadcast(wide) if n_items * (k + 1) <= BROADCAST_CELLS else wide)
+        if keys == ["user_id"]:
+            return users
+    return users.groupBy("user_id").agg(*same, *[F.sum(n).alias(n) for n in sums])
+
+
+def _number(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else "double('infinity')"
+
+
+def _array(values) -> str:
+    """SQL of an array of doubles; a folded array is no part of generated code, so rounds share their compiled classes."""
+    return f"array({', '.join(_number(float(v)) for v in values)})"
+
 
-    def distance(i, h):
-        gap = F.col("base") - F.lit(h.base)
-        square = (F.lit(float(n_items)) * gap * gap + 2 * gap * (F.col("s") - F.lit(h.s))
-                  + F.col("q") + F.lit(h.q) - 2 * F.col(f"dot{i}"))
-        return F.sqrt(F.greatest(square, F.lit(0.0))).alias(f"d{i}")
+def _distance_array(heads: list[Head], n_items: int) -> str:
+    """SQL: structs (at, distance) of a row of `_products`, one per centroid in order."""
+    given = ", ".join(f"named_struct('at', {i}, 'base', {_number(h.base)}, 's', {_number(h.s)}, 'q', {_number(h.q)}, 'n', {_number(h.n)})"
+                      for i, h in enumerate(heads))
+    square = (f"{float(n_items)}D * (base - h.base) * (base - h.base) + 2 * (base - h.base) * (s - h.s) + q + h.q - 2 * dot / h.n")
+    return (f"zip_with(array({given}), array({', '.join(f'dot{i}' for i in range(len(heads)))}), "
+            f"(h, dot) -> struct(h.at as at, sqrt(greatest({square}, 0D)) as distance))")
 
-    return users.select("user_id", "base", *[distance(i, h) for i, h in enumerate(heads)]), heads
+
+def _nearest(users: DataFrame, heads: list[Head], n_items: int) -> DataFrame:
+    """`users` (rows of `_products`) with `at` (the first of the nearest centroids), `upper` (its distance) and `lower` (that of the nearest other).
+
+    Distances are sums in no fixed order, so they are compared to 6 places.
+    """
+    return (users.withColumn("options", F.expr(
+                f"transform({_distance_array(heads, n_items)}, o -> struct(floor(o.distance * 1e6D + 0.5D) as near, o.at as at, o.distance as distance))"))
+            .withColumn("best", F.array_min("options"))
+            .withColumns({"at": F.col("best.at"), "upper": F.col("best.distance"), "lower": F.expr(
+                "coalesce(array_min(transform(filter(options, o -> o.at != best.at), o -> o.distance)), double('infinity'))")})
+            .drop("options", "best"))
+
+
+def _placed(profile: DataFrame, centroids: DataFrame, n_items: int | None) -> tuple[DataFrame, list[Head]]:
+    """Every user with its nearest centroid, and the centroids' heads."""
+    n_items = count_items(profile) if n_items is None else n_items
+    heads = _heads(centroids)
+    users = _products(profile, cut_lineage(_side_by_side(centroids, heads)), len(heads), n_items)
+    return _nearest(users, heads, n_items), heads
+
+
+def _named(users: DataFrame, heads: list[Head], distance) -> DataFrame:
+    """(user_id, label, ordinal, distance, base) from the number `at` of each user's centroid."""
+    names = "array(" + ", ".join(f"named_struct('ordinal', {h.ordinal}, 'label', bigint({h.label}))" for h in heads) + ")"
+    name = F.get(F.expr(names), F.col("at"))
+    return users.select("user_id", name["label"].alias("label"), name["ordinal"].alias("ordinal"), distance.alias("distance"), "base")
 
 
 def distance_to_centroid(profile: DataFrame, centroid: DataFrame, n_items: int | None = None) -> DataFrame:
     """Euclidean distance of every user to one centroid."""
-    users, _ = _distances(profile, centroid, n_items)
-    return users.select("user_id", F.col("d0").alias("distance"))
+    return _placed(profile, centroid, n_items)[0].select("user_id", F.col("upper").alias("distance"))
 
 
 def m_nearest(distances: DataFrame, m: int) -> DataFrame:
@@ -168,16 +254,9 @@ def _seed_frame(spark, seeds) -> DataFrame:
 
 
 def assign_clusters(profile: DataFrame, centroids: DataFrame, n_items: int | None = None) -> DataFrame:
-    """Nearest centroid of every user, with the distance; the first centroid wins a tie.
-
-    Distances are sums in no fixed order, so they are compared to 6 places.
-    """
-    users, heads = _distances(profile, centroids, n_items)
-    options = F.array(*[F.struct(fx.round_to(F.col(f"d{i}"), 6).alias("near"), F.lit(h.ordinal).alias("ordinal"),
-                                 F.lit(h.label).cast("bigint").alias("label"), F.col(f"d{i}").alias("distance"))
-                        for i, h in enumerate(heads)])
-    return (users.withColumn("best", F.array_min(options))
-            .select("user_id", "best.label", "best.ordinal", "best.distance", "base"))
+    """Nearest centroid of every user, with the distance; the first centroid wins a tie."""
+    users, heads = _placed(profile, centroids, n_items)
+    return _named(users, heads, F.col("upper"))
 
 
 def update_centroids(profile: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -195,28 +274,107 @@ def update_centroids(profile: DataFrame, assigned: DataFrame) -> DataFrame:
             .select("ordinal", "label", "base", "item_id", (F.col("dev") / F.col("n")).alias("dev")))
 
 
-def refine_clusters(profile: DataFrame, centroids: DataFrame, max_iter: int | None = None, n_items: int | None = None):
-    """Assign and average in turn until no user changes cluster. Returns (assignment, centroids, rounds).
+@dataclass
+class Rounds:
+    """How many users each round of a refinement computed distances for, and how many changed cluster."""
+    computed: list[int] = field(default_factory=list)
+    moved: list[int] = field(default_factory=list)
+
+
+def _of(profile: DataFrame, slots: DataFrame, users: DataFrame, few: bool) -> DataFrame:
+    """The stored profile of some users together with their columns in `users`, without shuffling it."""
+    if few:
+        return profile.join(F.broadcast(users), "user_id")
+    # Meet it on its own buckets: only user-sized tables move.
+    return profile.join(_by_slot(slots.join(users, "user_id")), ["user_id", "slot"])
+
 
-    A centroid left without users stays where it is. With `max_iter`, not being done by then is an error.
+def _gap(n_items: int, a: Head, b: Head, dot: float) -> tuple[float, float]:
+    """What the distance of two centroids is at least and at most, as their sums are rounded; `dot` sums the products of their deviations."""
+    gap = a.base - b.base
+    square = n_items * gap * gap + 2 * gap * (a.s - b.s) + a.q + b.q - 2 * dot
+    error = 1e-13 * (n_items * gap * gap + abs(2 * gap * (a.s - b.s)) + a.q + b.q)
+    return math.sqrt(max(0.0, square - error)), math.sqrt(max(0.0, square) + error)
+
+
+def refine_clusters(profile: DataFrame, centroids: DataFrame, max_iter: int | None = None, n_items: int | None = None,
+                    rounds: Rounds | None = None):
+    """Assign and average in turn until no user changes cluster. Returns (assignment, centroids, number of rounds).
+
+    `profile` comes from `prepare_profile`. A centroid left without users stays where it is. With `max_iter`, not being done
+    by then is an error, and so is an assignment that comes back although users move: only rounding could
+    cause that. `rounds` is filled with what each round did.
     """
     n_items = count_items(profile) if n_items is None else n_items
-    assigned = cut_lineage(assign_clusters(profile, centroids, n_items))
+    rounds = rounds if rounds is not None else Rounds()
+    heads = _heads(centroids)
+    k, each = len(heads), range(len(heads))
+    slots = store(profile.select("user_id", "slot").distinct(), "slots")
+    changed, columns = "at != was or was is null", ["user_id", "base", "was", "at", "upper", "lower"]
+
+    def census(state):
+        """Per cluster: users, sum of their means, how many were computed and how many came from elsewhere, a hash of who they are."""
+        rows = state.groupBy("at").agg(F.count("*").alias("n"), F.sum("base").alias("base"), F.count_if("fresh").alias("fresh"),
+                                       F.count_if(F.expr(changed)).alias("moved"), F.bit_xor(F.xxhash64("user_id")).alias("hash")).collect()
+        rounds.computed.append(sum(r["fresh"] for r in rows))
+        rounds.moved.append(sum(r["moved"] for r in rows))
+        return {r["at"]: r for r in rows}
+
+    # c0, c1, ... are the places of the centroids times their `n`; s0, s1, ... sum up the deviations of their users.
+    wide = store(_side_by_side(centroids, heads).select("*", *[F.lit(0.0).alias(f"s{i}") for i in each]), "centroids")
+    state = _nearest(_products(profile, wide, k, n_items).withColumn("was", F.lit(None).cast("int")), heads, n_items)
+    state = store(state.select(*columns, F.lit(True).alias("fresh")), "assignment")
+    found, seen = census(state), set()
+    few = rounds.computed[0] <= BROADCAST_ROWS
     done = 0
     while max_iter is None or done < max_iter:
         done += 1
-        moved = update_centroids(profile, assigned)
-        alone = centroids.join(F.broadcast(moved.select("ordinal").distinct()), "ordinal", "left_anti")
-        centroids = cut_lineage(moved.unionByName(alone))
-        after = cut_lineage(assign_clusters(profile, centroids, n_items))
-        changes = (after.select("user_id", F.col("ordinal").alias("now")).join(assigned, "user_id")
-                   .where(F.col("now") != F.col("ordinal")).limit(1).count())
-        assigned = after
-        if not changes:
-            return assigned, centroids, done
+        seen.add(tuple(sorted((at, r["n"], r["hash"]) for at, r in found.items())))
+        # The centroids' new places: only users that moved change the sums.
+        moved = _of(profile, slots, state.where(changed).select("user_id", "at", "was"), few or rounds.moved[-1] <= BROADCAST_ROWS)
+        moved = moved.groupBy("item_id").agg(*[F.expr(f"sum(dev * (if(at = {i}, 1, 0) - if(was <=> {i}, 1, 0)))").alias(f"t{i}") for i in each])
+        total = [f"coalesce(s{i}, 0D) + coalesce(t{i}, 0D)" for i in each]
+        wide = store(wide.join(moved, "item_id", "full").selectExpr(
+            "item_id", *[f"{total[i]} as s{i}" for i in each], *[f"coalesce(c{i}, 0D) as o{i}" for i in each],
+            *[f"{total[i] if i in found else f'coalesce(c{i}, 0D)'} as c{i}" for i in each]), "centroids")
+        near = [(i, j) for i in each for j in range(i)] if k <= PAIRED else []
+        told = wide.selectExpr(*[f"coalesce(sum(c{i}), 0D) as s{i}" for i in each], *[f"coalesce(sum(c{i} * c{i}), 0D) as q{i}" for i in each],
+                               *[f"coalesce(sum(c{i} * o{i}), 0D) as dot{i}" for i in each],
+                               *[f"coalesce(sum(c{i} * c{j}), 0D) as dot{i}_{j}" for i, j in near]).first()
+        before = heads
+        n = [float(found[i]["n"]) if i in found else h.n for i, h in enumerate(before)]
+        heads = [Head(h.ordinal, h.label, found[i]["base"] / n[i] if i in found else h.base, told[f"s{i}"] / n[i], told[f"q{i}"] / n[i] ** 2, n[i])
+                 for i, h in enumerate(before)]
+        drift = [_gap(n_items, heads[i], before[i], told[f"dot{i}"] / (n[i] * before[i].n))[1] for i in each]
+        half = [math.inf if near else 0.0] * k
+        for i, j in near:
+            apart = _gap(n_items, heads[i], heads[j], told[f"dot{i}_{j}"] / (n[i] * n[j]))[0] / 2
+            half[i], half[j] = min(half[i], apart), min(half[j], apart)
+        others = [max((d for j, d in enumerate(drift) if j != i), default=0.0) for i in each]
+        state = state.selectExpr("user_id", "base", "at as was", "at", f"upper + get({_array(drift)}, at) as upper", f"lower - get({_array(others)}, at) as lower")
+        meet = F.expr(f"upper + {_number(MARGIN)} >= greatest(lower, get({_array(half)}, at))")
+        active = state.where(meet).select("user_id", "was")
+        active = _of(profile, slots, active, few or active.count() <= BROADCAST_ROWS)
+        active = _nearest(_products(active, wide, k, n_items, carry=("was",)), heads, n_items)
+        state = store(state.where(~meet).select(*columns, F.lit(False).alias("fresh"))
+                      .unionByName(active.select(*columns, F.lit(True).alias("fresh"))), "assignment")
+        found = census(state)
+        if not rounds.moved[-1]:
+            exact = _products(profile, wide, k, n_items).join(state.select("user_id", "at"), "user_id")
+            distance = F.get(F.expr(_distance_array(heads, n_items)), F.col("at"))["distance"]
+            return cut_lineage(_named(exact, heads, distance)), _one_below_another(wide, heads), done
+        if tuple(sorted((at, r["n"], r["hash"]) for at, r in found.items())) in seen:
+            raise RuntimeError(f"after {done} rounds the assignment came back to an earlier one")
     raise RuntimeError(f"users still change clusters after {max_iter} rounds")
 
 
+def _one_below_another(wide: DataFrame, heads: list[Head]) -> DataFrame:
+    """(ordinal, label, base, item_id, dev) of centroids laid side by side."""
+    each = F.explode(F.array(*[F.struct(F.lit(h.ordinal).alias("ordinal"), F.lit(h.label).cast("bigint").alias("label"), F.lit(float(h.base)).alias("base"),
+                                        (F.col(f"c{i}") / h.n).alias("dev")) for i, h in enumerate(heads)]))
+    return wide.select("item_id", each.alias("c")).where("c.dev != 0").select("c.ordinal", "c.label", "c.base", "item_id", "c.dev")
+
+
 def seed_labels(seeding: Seeding, profile: DataFrame, n_items: int | None = None) -> DataFrame:
     """Discarded users keep the label of their seed; only the others go to the nearest centroid."""
     rest = assign_clusters(profile, seeding.centroids, n_items).select("user_id", "label", "ordinal")
@@ -234,7 +392,7 @@ def label_ratings(ratings: DataFrame, user_labels: DataFrame) -> DataFrame:
 def cluster_model(ratings: DataFrame, k: int = 5, refine: bool = True, max_iter: int | None = None, f_scale: str = "global",
                   m: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(user_id, label) end to end, and the centroids: refined, or the seeds with their own users labelled directly."""
-    profile = prepare_profile(ratings)
+    profile = prepare_profile(ratings, k=k)
     n_items = count_items(profile)
     seeding = seed_centroids(profile, importance(ratings), k, f_scale, m, n_items)
     if not refine:

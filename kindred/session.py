@@ -98,17 +98,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+def store_bucketed(df: DataFrame, name: str, *columns: str, folders: list[str] | None = None) -> DataFrame:
     """Store a relation bucketed by columns: later joins and aggregates on them do not shuffle it.
 
-    There are as many buckets as shuffle partitions, one file each.
+    There are as many buckets as shuffle partitions, one file each (in each folder of the columns `folders`).
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"kindred_{name}_{uuid.uuid4().hex}"
     _made["tables"].append(table)
-    (df.repartition(buckets, *columns).write.bucketBy(buckets, *columns)
-     .option("path", work_path(spark, name)).saveAsTable(table))
+    writer = df.repartition(buckets, *columns).write.bucketBy(buckets, *columns)
+    if folders:
+        writer = writer.partitionBy(*folders)
+    writer.option("path", work_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 

@@ -109,3 +109,91 @@ def test_nth_smallest_without_sorting_everything(spark, kind):
         assert cut == expected[n - 1]
         assert df.where(up_to("d", "user_id", cut)).count() == n
     assert nth_smallest(df, "d", "user_id", 3001) is None
+
+
+def _starts(spark):
+    return clustering._seed_frame(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)])
+
+
+def _all_rounds(profile, start):
+    """Refinement that computes every user in every round."""
+    assigned = clustering.cut_lineage(clustering.assign_clusters(profile, start))
+    while True:
+        moved = clustering.update_centroids(profile, assigned)
+        start = clustering.cut_lineage(moved.unionByName(start.join(moved.select("ordinal").distinct(), "ordinal", "left_anti")))
+        before = {r.user_id: r.ordinal for r in assigned.collect()}
+        assigned = clustering.cut_lineage(clustering.assign_clusters(profile, start))
+        if before == {r.user_id: r.ordinal for r in assigned.collect()}:
+            return assigned, start
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    """900 users in six groups of taste."""
+    from kindred import schemas
+    rng, rows = random.Random(11), []
+    for u in range(900):
+        for i in rng.sample(range(60), rng.randint(3, 15)):
+            liked = i % 6 == u % 6
+            rows.append((u, i, float(min(5, max(1, rng.gauss(4.3 if liked else 2.2, 0.7)))), rng.randint(0, 10**6)))
+    return spark.createDataFrame(rows, schemas.RATINGS).cache()
+
+
+@pytest.fixture(scope="module")
+def refined(spark, spread):
+    profile = clustering.prepare_profile(spread)
+    start = clustering.cut_lineage(clustering.pick_centroid(profile, _starts(spark)))
+    return profile, start, *_all_rounds(profile, start)
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_bounds_spare_users_and_change_nothing(refined, monkeypatch, few):
+    monkeypatch.setattr(clustering, "BROADCAST_ROWS", few)
+    profile, start, want, places = refined
+    rounds = clustering.Rounds()
+    assigned, centroids, done = clustering.refine_clusters(profile, start, rounds=rounds)
+    got = {r.user_id: (r.ordinal, r.label) for r in assigned.collect()}
+    assert got == {r.user_id: (r.ordinal, r.label) for r in want.collect()}
+    near = {r.user_id: r.distance for r in want.collect()}
+    assert all(r.distance == pytest.approx(near[r.user_id], abs=1e-7) for r in assigned.collect())
+    values = lambda df: {(r.ordinal, r.item_id): (r.base, r.dev) for r in df.collect() if abs(r.dev) > 1e-9}
+    found, expected = values(centroids), values(places)
+    assert found.keys() == expected.keys() and all(found[c] == pytest.approx(expected[c], abs=1e-9) for c in found)
+    assert len(rounds.computed) == done + 1 > 5 and rounds.moved[-1] == 0
+    assert sum(rounds.computed[-4:]) < 900 < sum(rounds.computed) < 900 * (done + 1) * 0.7
+
+
+def test_centroids_above_the_bound_are_broadcast_range_by_range(spark, many, monkeypatch):
+    seeds = _starts(spark)
+    plain = clustering.prepare_profile(many)
+    want = {r.user_id: r.ordinal for r in clustering.refine_clusters(plain, clustering.pick_centroid(plain, seeds))[0].collect()}
+    monkeypatch.setattr(clustering, "BROADCAST_CELLS", 120)
+    monkeypatch.setattr(clustering, "SLOT_ROWS", 5)
+    profile = clustering.prepare_profile(many, k=4)
+    assert profile.select("range").distinct().count() == 4 and profile.count() == many.count()
+    plans, kept = [], clustering.store
+    monkeypatch.setattr(clustering, "store", lambda df, name: plans.append(
+        (name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = clustering.refine_clusters(profile, clustering.pick_centroid(profile, seeds))[0]
+        assert {r.user_id: r.ordinal for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    products = [plan for name, plan in plans if name == "products"]
+    assert len(products) >= 8
+    for plan in products:
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan and "PartitionFilters: [isnotnull(range" in plan
+
+
+def test_a_returning_assignment_is_an_error(spark, many, monkeypatch):
+    profile = clustering.prepare_profile(many)
+    start, plain, calls = clustering.pick_centroid(profile, _starts(spark)), clustering._nearest, []
+
+    def restless(users, heads, n_items):
+        calls.append(1)
+        return plain(users, heads, n_items).withColumns({"at": F.lit(len(calls) % 2), "upper": F.lit(1.0), "lower": F.lit(0.0)})
+    monkeypatch.setattr(clustering, "_nearest", restless)
+    with pytest.raises(RuntimeError, match="came back"):
+        clustering.refine_clusters(profile, start)
