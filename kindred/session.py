@@ -67,6 +67,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return _made["folders"][-1]
 
 
+def folders_made() -> list[str]:
+    """The work folders this process made and did not remove."""
+    return list(_made["folders"])
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Remove some of the work folders; results that still read them are lost."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made["folders"].remove(folder)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the work folders and tables this process made; results that still read them are lost.
 
@@ -74,11 +87,8 @@ def release(spark: SparkSession) -> None:
     """
     for table in _made["tables"]:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-    for folder in _made["folders"]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _made["tables"].clear()
-    _made["folders"].clear()
+    discard(spark, folders_made())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
