@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from kindred import session
 
@@ -22,10 +24,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def keep_likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """`rows` without most of those whose `key` (long) is not in `wanted`, so that a join after it shuffles less.
+def mark_likely(rows: DataFrame, wanted: DataFrame, key: str, mark: str) -> DataFrame:
+    """`rows` with a boolean `mark`: true where `key` (long) is in `wanted`, and by chance on some other rows.
 
-    All rows with a wanted key stay, and by chance some others: keys are hashed to FILTER_BITS bits (4 MB to
+    Rows without the mark need no join with `wanted`, so that join shuffles less. Keys are hashed to FILTER_BITS bits (4 MB to
     the driver and to each task, whatever the number of keys). `wanted` is read once more; store it before.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
@@ -40,8 +42,15 @@ def keep_likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            place, bucket = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_place", "_bucket"))
+            place, bucket = (pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in ("_place", "_bucket"))
             hit = shared.value[bucket * 4096 + (place >> 3)] >> (place & 7) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(hit.astype(bool)))
-    return (rows.where(F.col(key).isNotNull()).select("*", F.bitmap_bit_position(slot).alias("_place"), F.bitmap_bucket_number(slot).alias("_bucket"))
-            .mapInArrow(run, rows.schema))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pc.and_(pa.array(hit.astype(bool)), pc.is_valid(batch.column("_place")))],
+                                             names=[*batch.schema.names[:-2], mark])
+    known = F.col(key).isNotNull()
+    return (rows.select("*", F.when(known, F.bitmap_bit_position(slot)).alias("_place"), F.when(known, F.bitmap_bucket_number(slot)).alias("_bucket"))
+            .mapInArrow(run, StructType([*rows.schema.fields, StructField(mark, BooleanType())])))
+
+
+def keep_likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """`rows` without most of those whose `key` (long) is not in `wanted`; all with a wanted key stay (see `mark_likely`)."""
+    return mark_likely(rows, wanted, key, "_likely").where("_likely").drop("_likely")
