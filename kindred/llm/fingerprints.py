@@ -80,6 +80,21 @@ _EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited",
                      ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+def _longs(values: list[int]) -> str:
+    """SQL of an array of longs; Spark folds it to one literal."""
+    return "array(" + ", ".join(f"bigint('{v}')" for v in values) + ")"
+
+
+def _count_up_to(bounds: list[int], place: str):
+    """How many of the sorted bounds are at most the value of a column: first among every so many, then within one stretch."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = f"size(filter({_longs(bounds[::step])}, b -> b <= {place}))"
+    within = f"size(filter(slice({_longs(bounds)}, {step} * ({coarse} - 1) + 1, {step}), b -> b <= {place}))"
+    return F.expr(f"if({place} < bigint('{bounds[0]}'), 0, {step} * ({coarse} - 1) + {within})").cast("int")
+
+
 def edited_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of `docs`.
 
@@ -96,16 +111,15 @@ def edited_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(docs.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts))))
-    at = F.lit(0)
-    if bounds:
-        at = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.coalesce("doc_id", F.lit(-2**63))))
-    docs = docs.withColumn("bucket", at)
-    firsts = sorted((r["bucket"], r["first"]) for r in docs.groupBy("bucket").agg(
-        F.min(F.coalesce("doc_id", F.lit(-2**63))).alias("first")).collect())
-    before = F.lit(None).cast("int")
-    for k, (bucket, first) in enumerate(firsts):
-        before = F.when((F.col("bucket") == bucket) & (F.coalesce("doc_id", F.lit(-2**63)) == first), firsts[k - 1][0]).otherwise(before)
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.lit(-2**63)))
+    bounds = sorted({int(b) for b in docs.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts))})
+    docs = docs.withColumn("bucket", _count_up_to(bounds, "place"))
+    firsts = sorted((r["bucket"], r["first"]) for r in docs.groupBy("bucket").agg(F.min("place").alias("first")).collect())
+    # By bucket: its first id, and the bucket before it that holds rows (of the first one, the last).
+    first, previous = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+    for k, (bucket, lowest) in enumerate(firsts):
+        first[bucket], previous[bucket] = lowest, firsts[k - 1][0]
+    before = F.when(F.col("place") == F.get(F.expr(_longs(first)), F.col("bucket")), F.get(F.expr(_longs(previous)), F.col("bucket")).cast("int"))
     own = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
     dealt = (docs.withColumn("at", F.explode(F.when(before.isNull(), F.array(own))
                                              .otherwise(F.array(own, F.struct(before.alias("bucket"), F.lit(1).alias("tail"))))))

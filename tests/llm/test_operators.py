@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -364,3 +365,27 @@ def test_warc(spark):
     assert all(r["request"]["kind"] == "request" and r["metadata"]["kind"] == "metadata" for r in whole)
     assert sorted(bytes(r["response"]["payload"]).decode() for r in whole if r["response"]["kind"] == "response") == sorted(
         {p[2] or "" for p in pages})
+
+
+def test_fingerprints_over_thousands_of_ranges(spark):
+    rng = random.Random(4)
+    ids = [-2**63 + 1, -5, *rng.sample(range(10**12), 3000), 2**63 - 1]
+    docs = spark.createDataFrame([(i, text(k, 12)) for k, i in enumerate(ids)] + [(None, "no id")], "doc_id long, text string").repartition(8).cache()
+    few = sorted(map(tuple, fingerprints.edited_fingerprints(docs).collect()), key=str)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        start = time.time()
+        made = fingerprints.edited_fingerprints(docs)
+        assert time.time() - start < 60
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted(map(tuple, made.coalesce(8).collect()), key=str) == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 3, 10, 101])
+def test_ranges_are_counted_by_two_searches(spark, count):
+    bounds = sorted(random.Random(count).sample(range(-50, 150), count))
+    places = spark.range(-60, 160).withColumn("found", fingerprints._count_up_to(bounds, "id"))
+    assert all(r["found"] == sum(b <= r["id"] for b in bounds) for r in places.collect())
