@@ -22,7 +22,7 @@ def corated_pairs(ratings: DataFrame, within: str | None = None, way: str = "aut
                       F.col("u_ts").alias("ts_u"), F.col("v_ts").alias("ts_v"))
 
 
-def _with_sides(ratings: DataFrame, averages: DataFrame | None, keep: list[str]) -> DataFrame:
+def with_sides(ratings: DataFrame, averages: DataFrame | None, keep: list[str]) -> DataFrame:
     """Ratings with the user's item count and the side of the mean the rating lies on."""
     stats = user_stats(ratings)
     if averages is not None:
@@ -46,7 +46,7 @@ def pair_factors(ratings: DataFrame, averages: DataFrame | None = None, within:
     sums = {"rc": F.count("*"),
             "rd": F.sum(fx.same_side(F.col("u_side"), F.col("v_side"), strict)),
             "rt": F.sum(fx.time_closeness(F.col("u_ts"), F.col("v_ts"), alpha))}
-    prepared = store(_with_sides(ratings, averages, [within] if within else []), "sided-ratings")
+    prepared = store(with_sides(ratings, averages, [within] if within else []), "sided-ratings")
     met, local = pairs.rater_pairs(prepared, carry, within, way, blocks)
     return (met.groupBy(*local, "u", "v")
             .agg(*[sums[f].alias(f) for f in factors],

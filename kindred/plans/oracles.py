@@ -360,3 +360,4 @@ UNION ALL SELECT d.item_id, true, s.slot, round(coalesce(weight, 0), 6)
   user_id || '-' || created_at AS session_id FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY created_at DESC) AS k
   FROM closed) WHERE k <= 4""",
 }
+ORACLES["nearest_neighbours"] = ORACLES["neighbours_top_k"]

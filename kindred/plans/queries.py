@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred import schemas
 from kindred.functions import scalar as fx
-from kindred.operators import clustering, incremental, items, ratings as rt, recommend, sessions as ss, similarity
+from kindred.operators import clustering, incremental, items, nearest, ratings as rt, recommend, sessions as ss, similarity
 from kindred.plans import tables
 from kindred.session import prepare, store, work_path
 from kindred.sources import stores, text
@@ -168,6 +168,12 @@ def neighbours_top_k(spark, d):
     return _round(similarity.neighbours(_scores(spark, d), 50), "mfps")
 
 
+@query
+def nearest_neighbours(spark, d):
+    """The same rows as `neighbours_top_k`, found by bounds."""
+    return _round(nearest.nearest_neighbours(tables.ratings_dedup(spark, d), 50), "mfps")
+
+
 @query
 def stranger_scores(spark, d):
     return _round(similarity.stranger_scores(tables.ratings_dedup(spark, d)), "stranger")
