@@ -361,3 +361,4 @@ UNION ALL SELECT d.item_id, true, s.slot, round(coalesce(weight, 0), 6)
   FROM closed) WHERE k <= 4""",
 }
 ORACLES["nearest_neighbours"] = ORACLES["neighbours_top_k"]
+ORACLES["stream_similarity_changes"] = ORACLES["stream_similarity"]

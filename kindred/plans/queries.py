@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred import schemas
 from kindred.functions import scalar as fx
-from kindred.operators import clustering, incremental, items, nearest, ratings as rt, recommend, sessions as ss, similarity
+from kindred.operators import clustering, deltas, incremental, items, nearest, ratings as rt, recommend, sessions as ss, similarity
 from kindred.plans import tables
 from kindred.session import prepare, store, work_path
 from kindred.sources import stores, text
@@ -681,6 +681,15 @@ def stream_similarity(spark, d):
     return _round(streams.current_similarity(spark, sink), "mfps")
 
 
+@query
+def stream_similarity_changes(spark, d):
+    """As `stream_similarity`, kept by signed changes of the stored factors."""
+    sink = work_path(spark, "stream-changes")
+    train, test = tables.train_test(spark, d)
+    streams.stream_similarity_changes(_rating_stream(spark, test), train, sink, work_path(spark, "state")).awaitTermination()
+    return _round(deltas.current_scores(spark, sink).select("user_u", "user_v", "mfps"), "mfps")
+
+
 def _activity_stream(spark, d) -> DataFrame:
     """The events as a stream of several micro-batches, in order of time."""
     stored, path = tables.table(spark, d, "events"), work_path(spark, "incoming-events")
