@@ -27,7 +27,7 @@ from kindred.llm import arrow
 from kindred.session import store
 
 SCALE = 1_000_000_000
-ROWS = 4096
+ROWS = 1024
 SOURCES = 256
 COLUMNS = 1024
 LANES = 32
