@@ -2,7 +2,8 @@
 
 Linear support vector machines tell language families apart first, one against one; within the
 predicted family one machine per pair of languages decides, and the language with most votes wins
-(equal votes: the larger sum of margins). Features are hashed counts of letter n-grams of one to
+(equal votes: the larger sum of margins). Where more than BRANCH families are to be told apart, those with alike mean
+features are put together first, so that machines grow with the languages and not with their square. Features are hashed counts of letter n-grams of one to
 three characters, with any run of non-letters as one boundary.
 """
 
@@ -22,6 +23,7 @@ from kindred.llm.vocabulary import forget
 
 DIMS = 4096
 ROWS = 128
+BRANCH = 8
 # Languages by family; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
@@ -92,27 +94,52 @@ def svm(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, steps: int =
     return w.astype(np.float64), float(bias)
 
 
-class Model:
-    """The machines of the families and of the languages within each family."""
-
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        names = np.array(langs, object)
-        families = np.array([family_of(v) for v in langs], object)
-        self.families = sorted(set(families))
-        self.members = {f: sorted(set(names[families == f])) for f in self.families}
-        self.machines = {}
-        for level, labels, groups in [(names, families, [self.families])] + [(families, names, list(self.members.values()))]:
-            for group in groups:
-                for a, b in combinations(group, 2):
-                    rows = (labels == a) | (labels == b)
-                    self.machines[(a, b, len(groups) == 1 and labels is families)] = svm(x[rows], labels[rows] == a)
-
-    def _choose(self, x: np.ndarray, names: list[str], top: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The winner among names, and the smallest chance it has against any other."""
-        k = len(names)
+def _alike(means: np.ndarray, k: int) -> np.ndarray:
+    """Which of k groups each row belongs to, by nearest centroid: seeds farthest from each other, then some rounds."""
+    seeds, far = [int(np.argmax(((means - means.mean(0)) ** 2).sum(1)))], None
+    while len(seeds) < k:
+        apart = ((means - means[seeds[-1]]) ** 2).sum(1)
+        far = apart if far is None else np.minimum(far, apart)
+        seeds.append(int(far.argmax()))
+    centres = means[seeds].copy()
+    for _ in range(10):
+        group = np.argmin([((means - c) ** 2).sum(1) for c in centres], 0)
+        for j in set(group):
+            centres[j] = means[group == j].mean(0)
+    # Equal rows cannot be told apart: deal them out.
+    return group if len(set(group)) > 1 else np.arange(len(means)) % k
+
+
+class Branch:
+    """Children (a language's name or a further branch each) and a machine for each two of them."""
+
+    def __init__(self, x: np.ndarray, names: np.ndarray, children: list[list[str]]):
+        """`children` are lists of languages: one family each."""
+        if len(children) > BRANCH:
+            means = np.stack([x[np.isin(names, c)].mean(0) for c in children])
+            group = _alike(means, BRANCH)
+            children = [[c for c, g in zip(children, group, strict=True) if g == j] for j in sorted(set(group))]
+        else:
+            children = [[c] for c in children]
+        self.children, self.machines, rows = [], {}, []
+        for families in children:
+            langs = [v for family in families for v in family]
+            rows.append(np.isin(names, langs))
+            if len(langs) == 1:
+                self.children.append(langs[0])
+            else:
+                own = rows[-1]
+                self.children.append(Branch(x[own], names[own], families if len(families) > 1 else [[v] for v in langs]))
+        for i, j in combinations(range(len(children)), 2):
+            both = rows[i] | rows[j]
+            w, bias = svm(x[both], rows[i][both])
+            self.machines[i, j] = w.astype(np.float32), bias
+
+    def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The winning child, and the smallest chance it has against any other."""
+        k = len(self.children)
         margins = np.zeros((len(x), k, k))
-        for (i, a), (j, b) in combinations(enumerate(names), 2):
-            w, bias = self.machines[(a, b, top)]
+        for (i, j), (w, bias) in self.machines.items():
             margins[:, i, j] = x @ w + bias
             margins[:, j, i] = -margins[:, i, j]
         votes = (margins > 0).sum(2)
@@ -122,16 +149,37 @@ class Model:
         won[np.arange(len(x)), best] = np.inf
         return best, 1 / (1 + np.exp(-3 * np.clip(won.min(1), -50, 50))) if k > 1 else np.ones(len(x))
 
+    def predict(self, x: np.ndarray, lang: np.ndarray, score: np.ndarray, rows: np.ndarray) -> None:
+        """Fill in the language and score of some rows."""
+        best, chance = self.choose(x[rows])
+        score[rows] *= chance
+        for k, child in enumerate(self.children):
+            mine = rows[best == k]
+            if len(mine) and isinstance(child, Branch):
+                child.predict(x, lang, score, mine)
+            else:
+                lang[mine] = child
+
+    def count(self) -> int:
+        """The machines of this branch and all below."""
+        return len(self.machines) + sum(c.count() for c in self.children if isinstance(c, Branch))
+
+
+class Model:
+    """The machines of the families and of the languages within each family."""
+
+    def __init__(self, x: np.ndarray, langs: list[str]):
+        names = np.array(langs, object)
+        families: dict[str, list[str]] = {}
+        for lang in sorted(set(langs)):
+            families.setdefault(family_of(lang), []).append(lang)
+        children = [families[f] for f in sorted(families)]
+        self.root = Branch(x, names, children if len(children) > 1 else [[v] for v in children[0]])
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(np.float64)
-        family, score = self._choose(x, self.families, True)
-        lang = np.empty(len(x), object)
-        for k, name in enumerate(self.families):
-            rows = np.flatnonzero(family == k)
-            if len(rows):
-                best, chance = self._choose(x[rows], self.members[name], False)
-                lang[rows] = np.array(self.members[name], object)[best]
-                score[rows] *= chance
+        lang, score = np.empty(len(x), object), np.ones(len(x))
+        self.root.predict(x, lang, score, np.arange(len(x)))
         return lang, score
 
 
@@ -141,21 +189,22 @@ def _learned(batches):
                                          names=["lang", "x", "lettered"])
 
 
-def fit(labelled: DataFrame, per_lang: int = 400, most: int = 2500) -> Model | None:
+def fit(labelled: DataFrame, per_lang: int = 400, most: int = 2500, labels: int = 1000) -> Model | None:
     """Learn from rows (doc_id, text, lang); null texts and labels are left out. None if nothing is left.
 
-    The machines are fitted on a sample chosen by a hash of doc_id: about `per_lang` rows of each
-    language and about `most` in all (more only by chance), which bounds what reaches the driver.
+    The machines are fitted on a sample chosen by a hash of doc_id and text, repeated rows counted once: about `per_lang` rows
+    of each language and about `most` in all, at least about one a language (more only by chance), of the `labels` languages
+    with most documents. That bounds what reaches the driver.
     """
-    labelled = labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).dropna(subset=["text", "lang"])
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = labelled.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("key"), F.col("text").cast("string"), F.col("lang").cast("string")).dropna(subset=["text", "lang"])
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "lang").limit(labels)
+    counts = [(r["lang"], r["n"]) for r in counts.collect()]
     if not counts:
         return None
     want = min(per_lang, max(1, most // len(counts)))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, want / n)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, want / max(1, n))) for lang, n in counts], "lang string, share double")
+    sample = (labelled.join(F.broadcast(shares), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+              .dropDuplicates(["key", "lang"]))
     rows = sample.select("text", "lang").mapInArrow(_learned, "lang string, x binary, lettered boolean").where("lettered").collect()
     if not rows:
         return None

@@ -389,3 +389,37 @@ def test_ranges_are_counted_by_two_searches(spark, count):
     bounds = sorted(random.Random(count).sample(range(-50, 150), count))
     places = spark.range(-60, 160).withColumn("found", fingerprints._count_up_to(bounds, "id"))
     assert all(r["found"] == sum(b <= r["id"] for b in bounds) for r in places.collect())
+
+
+def test_language_id_with_a_thousand_labels(spark):
+    """Each label has its own letters; machines grow with the labels, not with their square."""
+    rng, rows = random.Random(6), []
+    alphabet = [chr(0x4E00 + k) for k in range(3000)]
+    for lang in range(1000):
+        letters = alphabet[3 * lang:3 * lang + 3]
+        rows += [(len(rows) + k, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(30)), f"x{lang}") for k in range(5)]
+    rows += [(10**6, rows[0][1], "x0")] * 5000 + [(None, None, "x1"), (5, "text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    model = langid.fit(docs, per_lang=3, most=2000)
+    assert 900 < model.root.count() < 8 * 1000
+    got = langid.identify(docs.where("doc_id < 5000 and lang is not null and doc_id % 5 = 4"), model).join(docs.dropDuplicates(["doc_id"]).drop("text"), "doc_id")
+    right = [r["lang_pred"] == r["lang"] for r in got.collect()]
+    assert len(right) == 1000 and sum(right) > 700
+
+
+def test_machines_solve_their_problem():
+    """The descent ends where the penalised squared hinge loss is least, by a direct solution of its optimum."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    positive = x[:, 0] + 0.3 * rng.normal(size=60) > 0
+    w, bias = langid.svm(x, positive, penalty=0.05, steps=3000)
+    y = np.where(positive, 1.0, -1.0)
+    weight = np.where(positive, 0.5 / positive.sum(), 0.5 / (~positive).sum())
+    z = np.hstack([x, np.ones((60, 1))]).astype(float)
+    best = np.zeros(5)
+    for _ in range(100):  # Newton steps on the active rows
+        active = y * (z @ best) < 1
+        a = z[active] * weight[active, None]
+        best = np.linalg.solve(2 * a.T @ z[active] + np.diag([0.05] * 4 + [0]), 2 * a.T @ y[active])
+    assert np.allclose(np.append(w, bias), best, atol=2e-3)
