@@ -1,7 +1,8 @@
 """WARC: write captures as request, response or revisit, and metadata records; read and assemble them again.
 
 A capture's three records are joined through WARC-Concurrent-To, which names the response or revisit
-record. Payloads met before are written as revisits (identical-payload-digest profile).
+record. Payloads met before are written as revisits (identical-payload-digest profile), which state the digest and the
+response's URI and date; reading joins them to the response record with that digest.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import arrow
-from kindred.session import work_path
+from kindred.session import store, work_path
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,6 +31,10 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
+def _uri(url: str | None) -> str | None:
+    return None if url is None else _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def _record(kind: str, name: str, date: str, headers: dict, block: str) -> str:
     """One record without its closing line breaks, which the writer puts after every row."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}"]
@@ -43,17 +49,18 @@ def _records(date: str):
                 out = []
                 for row in part.to_pylist():
                     name, digest = str(uuid.uuid5(uuid.NAMESPACE_URL, f"capture:{row['unit']}:{row['page_id']}")), f"sha1:{base32(row['sha1'])}"
-                    uri = None if row["url"] is None else _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), row["url"])
+                    uri = _uri(row["url"])
                     tied = {"WARC-Target-URI": uri, "WARC-Concurrent-To": f"<urn:uuid:{name}>"}
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}{END}"
                     out.append(_record("request", uuid.uuid5(uuid.UUID(name), "request"), date,
                                        tied | {"Content-Type": "application/http; msgtype=request"}, f"GET {uri or '/'} HTTP/1.1{END}"))
                     headers = {"WARC-Target-URI": uri, "WARC-Payload-Digest": digest, "Content-Type": "application/http; msgtype=response"}
-                    if row["refers_to"] is None:
+                    if not row["revisits"]:
                         out.append(_record("response", name, date, headers, head + row["html"]))
                     else:
-                        out.append(_record("revisit", name, date, headers | {"WARC-Profile": PROFILE}, head))
-                    fields = {"pageId": row["page_id"], "payloadLength": row["bytes"], "refersTo": row["refers_to"]}
+                        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": _uri(row["first_url"]), "WARC-Refers-To-Date": date}
+                        out.append(_record("revisit", name, date, headers, head))
+                    fields = {"pageId": row["page_id"]}
                     out.append(_record("metadata", uuid.uuid5(uuid.UUID(name), "metadata"), date, tied | {"Content-Type": "application/warc-fields"},
                                        "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
@@ -70,29 +77,29 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "2024
     """
     pages = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("bigint")})
-    first = pages.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = (pages.where(F.col("bytes") >= least).groupBy("sha1", "bytes")
+             .agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1"))
     told = (pages.join(first, ["sha1", "bytes"], "left")
-            .withColumn("refers_to", F.when(F.coalesce("page_id", F.lit(-1)) != F.col("first"), F.col("first")))
+            .withColumn("revisits", F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
             .withColumn("unit", F.monotonically_increasing_id())
-            .select("unit", "page_id", "url", "html", "sha1", "bytes", "refers_to"))
+            .select("unit", "page_id", "url", "html", "sha1", "bytes", "revisits", "first_url"))
     (told.mapInArrow(_records(date), "value string").write.option("lineSep", END).option("compression", "gzip")
      .option("maxRecordsPerFile", FILE_RECORDS).text(path))
 
 
-def parse(data: bytes):
-    """Records of an uncompressed archive, by their lengths: (headers with lower-case names, block)."""
-    at = 0
-    while True:
-        while data[at:at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.index(END.encode(), at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        start = end + len(END)
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
+def parse(archive):
+    """Records of an uncompressed archive (a binary stream), by their lengths: (headers with lower-case names, block).
+
+    One record is in memory at a time.
+    """
+    while line := archive.readline():
+        if not line.strip():
+            continue
+        headers = {}
+        while (line := archive.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        yield headers, archive.read(int(headers["content-length"]))
 
 
 def _read(with_payload: bool):
@@ -116,8 +123,9 @@ def _read(with_payload: bool):
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                data, held, size = content.as_py(), [], 0
-                for headers, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                stream, held, size = io.BytesIO(content.as_buffer()), [], 0
+                packed = stream.getbuffer()[:2] == b"\x1f\x8b"
+                for headers, block in parse(gzip.open(stream) if packed else stream):
                     held.append(row(headers, block))
                     size += len(block)
                     if len(held) >= 5000 or size > 4_000_000:
@@ -151,13 +159,19 @@ def captures(records: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of `pages`, read back from its written archive.
 
+    A revisit's length and refers_to come from the response record with its digest. Very long payloads are one record each.
     An empty table gives no rows.
     """
     spark, path = pages.sparkSession, work_path(pages.sparkSession, "warc")
     write_archive(pages, path, least)
-    told = F.col("metadata.fields")
-    return captures(read_records(spark, path, with_payload=False)).select(
-        told["pageId"].cast("bigint").alias("page_id"),
-        F.coalesce("response.size", told["payloadLength"].cast("bigint")).alias("payload_bytes"),
-        F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"),
-        told["refersTo"].cast("bigint").alias("refers_to"))
+    read = captures(read_records(spark, path, with_payload=False)).select(
+        F.col("metadata.fields")["pageId"].cast("bigint").alias("page_id"), F.col("response.size").alias("size"),
+        F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"))
+    read = store(read, "captures")
+    revisits = F.col("record_type") == "revisit"
+    responses = (read.where(~revisits).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("size").alias("first_size"))
+                 .join(read.where(revisits).select("payload_digest").distinct(), "payload_digest", "left_semi"))
+    found = read.where(revisits).join(responses, "payload_digest", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return (read.where(~revisits).withColumn("payload_bytes", F.col("size")).withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns)
+            .unionAll(found.withColumn("payload_bytes", F.col("first_size")).withColumn("refers_to", F.col("first")).select(*columns)))

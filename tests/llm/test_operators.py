@@ -1,7 +1,9 @@
 """Each training-data operator against a brute-force version, an exact round trip or held-out accuracy, with odd rows."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 import time
@@ -423,3 +425,17 @@ def test_machines_solve_their_problem():
         a = z[active] * weight[active, None]
         best = np.linalg.solve(2 * a.T @ z[active] + np.diag([0.05] * 4 + [0]), 2 * a.T @ y[active])
     assert np.allclose(np.append(w, bias), best, atol=2e-3)
+
+
+def test_warc_rows_without_page_id_revisit_a_negative_one(spark):
+    rows = [(-1, "http://p", "<p>neg</p>"), (None, "q", "<p>neg</p>"), (None, "r", "alone"), (None, "s", "both null"), (None, "t", "both null"), (-7, "u", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive(frame).collect())
+    assert got == Counter({(-1, 10, "response", None): 1, (None, 10, "revisit", -1): 1, (None, 5, "response", None): 1,
+                           (None, 9, "response", None): 2, (-7, 0, "response", None): 1})
+    path = work_path(spark, "test-warc-files")
+    warc.write_archive(frame, path)
+    raw = b"".join(gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").load(path).collect())
+    assert b"WARC-Refers-To-Target-URI: http://p\r\n" in raw and b"refersTo" not in raw and b"payloadLength" not in raw
+    kinds = Counter(h["warc-type"] for h, _ in warc.parse(io.BytesIO(raw)))
+    assert kinds == {"request": 6, "response": 5, "revisit": 1, "metadata": 6}
