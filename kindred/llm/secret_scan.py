@@ -2,19 +2,19 @@
 
 Every text version is addressed by the SHA-256 of its content. The ledger holds the pairs of blob
 and rule version scanned so far; a scan reads only the text of blobs with unseen pairs, once per blob
-however many documents hold it, and appends to the ledger and the findings. Findings are joined
-back to all documents (paths) by blob.
+however many documents hold it, and appends to the ledger and the findings (`scan_into`). Findings are joined
+back to all documents (paths) by blob. Null and empty texts are one blob, very long ones are scanned whole.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kindred.session import store
+from kindred.session import store, work_path
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,32 @@ def report(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULE
                     F.coalesce("spans", F.lit("")).alias("spans")))
 
 
-def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of `docs` as in `report`, scanned with an empty ledger. An empty table gives no rows."""
-    paths, findings, _ = scan(docs, rules)
+def _stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What runs before this one left in a folder of the ledger; nothing if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.schema(schema).parquet(folder)
+    return spark.createDataFrame([], schema)
+
+
+def scan_into(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, int]:
+    """Scan what the ledger below `path` has not seen, and add to it: paths (doc_id, blob), all its findings by these rules, blobs scanned.
+
+    path/findings and path/ledger (a row per blob and rule version) grow by a folder a run; findings come first, so
+    a run that fails in between is only scanned again, and findings are read without repeats.
+    """
+    spark = docs.sparkSession
+    ledger = _stored(spark, f"{path}/ledger", LEDGER)
+    paths, findings, entries = scan(docs, rules, ledger)
+    findings.write.mode("append").parquet(f"{path}/findings")
+    entries = store(entries, "entries")
+    entries.write.mode("append").parquet(f"{path}/ledger")
+    wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+    found = _stored(spark, f"{path}/findings", FINDINGS).where(F.array_contains(wanted, F.struct("rule", "version"))).distinct()
+    return paths, found, entries.select("blob").distinct().count()
+
+
+def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
+    """One row per row of `docs` as in `report`, through the ledger below `path` (a new one if not given). An empty table gives no rows."""
+    paths, findings, _ = scan_into(docs, path or work_path(docs.sparkSession, "secrets"), rules)
     return report(paths, findings, rules)

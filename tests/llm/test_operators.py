@@ -439,3 +439,19 @@ def test_warc_rows_without_page_id_revisit_a_negative_one(spark):
     assert b"WARC-Refers-To-Target-URI: http://p\r\n" in raw and b"refersTo" not in raw and b"payloadLength" not in raw
     kinds = Counter(h["warc-type"] for h, _ in warc.parse(io.BytesIO(raw)))
     assert kinds == {"request": 6, "response": 5, "revisit": 1, "metadata": 6}
+
+
+def test_a_second_scan_reads_the_ledger(spark, odd, monkeypatch):
+    path = work_path(spark, "test-ledger")
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(500, "token: abcdefgh"), (501, "token: abcdefgh")], "doc_id long, text string"))
+    first = sorted(map(tuple, secret_scan.secret_scan(docs, path=path).collect()), key=str)
+    assert first == sorted(map(tuple, secret_scan.secret_scan(docs).collect()), key=str)
+    _, found, scanned = secret_scan.scan_into(docs, path)
+    assert scanned == 0 and found.count() == 1
+    more = docs.unionByName(spark.createDataFrame([(502, "password = hunter2222")], "doc_id long, text string"))
+    _, found, scanned = secret_scan.scan_into(more, path)
+    assert scanned == 1 and found.count() == 2
+    newer = (*secret_scan.RULES[:-1], secret_scan.Rule("forge", 2, "hunter[0-9]+", base=False))
+    _, found, scanned = secret_scan.scan_into(more, path, newer)
+    assert scanned == more.select(F.coalesce("text", F.lit(""))).distinct().count()  # every blob, by the one new rule version
+    assert {(r["rule"], r["version"]) for r in found.collect()} == {("assign", 1), ("forge", 2)}
