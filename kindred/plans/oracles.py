@@ -362,3 +362,14 @@ UNION ALL SELECT d.item_id, true, s.slot, round(coalesce(weight, 0), 6)
 }
 ORACLES["nearest_neighbours"] = ORACLES["neighbours_top_k"]
 ORACLES["stream_similarity_changes"] = ORACLES["stream_similarity"]
+ORACLES["search_items_fields"] = _with(
+    CONTENTS, "stock AS (SELECT p_partkey AS item_id, p_name AS name, concat_ws(' ', p_brand, p_type) AS summary FROM part)",
+    """q AS (SELECT DISTINCT unnest([name, string_split(name, ' ')[1], string_split(name, ' ')[-1], summary, string_split(summary, ' ')[-1]]) AS content
+  FROM contents JOIN stock ON item_id = k)""",
+    """texts AS (SELECT item_id, 'name' AS field, name AS t FROM stock UNION ALL SELECT item_id, 'summary', summary FROM stock)""",
+    """fields AS (SELECT item_id, field, list_filter(string_split_regex(lower(t), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM texts)""",
+    """asked AS (SELECT content, list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS a FROM q)""",
+    """hits AS (SELECT content, item_id, field, round(len(list_filter(words, lambda w: list_contains(a, w))) / len(words), 6) AS score
+  FROM asked, fields WHERE len(a) > 0 AND list_has_all(words, a))""",
+    """best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY content, item_id ORDER BY score DESC, field) = 1)""") + """
+SELECT *, CAST(row_number() OVER (PARTITION BY content ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM best QUALIFY rank <= 3"""

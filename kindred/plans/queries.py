@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred import schemas
 from kindred.functions import scalar as fx
-from kindred.operators import clustering, deltas, incremental, items, nearest, ratings as rt, recommend, sessions as ss, similarity
+from kindred.operators import clustering, deltas, incremental, items, nearest, ratings as rt, recommend, search, sessions as ss, similarity
 from kindred.plans import tables
 from kindred.session import prepare, store, work_path
 from kindred.sources import stores, text
@@ -459,6 +459,16 @@ def search_items_text(spark, d):
     return items.search_items_text(asked, parts, 3)
 
 
+@query
+def search_items_fields(spark, d):
+    """Searches by whole names, parts of names, brands and kinds over two fields of a stored index."""
+    path, parts = work_path(spark, "index"), tables.described_items(spark, d)
+    search.build_index(parts, path)
+    named = _contents(spark, d).join(parts, F.col("item_id").cast("string") == F.col("content"))
+    texts = F.array("name", F.split("name", " ")[0], F.element_at(F.split("name", " "), -1), "summary", F.element_at(F.split("summary", " "), -1))
+    return search.search_index(spark, path, named.select(F.explode(texts).alias("content")), 3)
+
+
 @query
 def text_weights(spark, d):
     return _round(items.text_weights(tables.documents(spark, d), DIMS), "weight")

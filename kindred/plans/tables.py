@@ -51,6 +51,12 @@ def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
 
 
+def described_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with two text fields: the name, and the brand and kind as a summary."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"),
+                                               F.concat_ws(" ", "p_brand", "p_type").alias("summary"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("name"))
 
