@@ -373,3 +373,4 @@ ORACLES["search_items_fields"] = _with(
   FROM asked, fields WHERE len(a) > 0 AND list_has_all(words, a))""",
     """best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY content, item_id ORDER BY score DESC, field) = 1)""") + """
 SELECT *, CAST(row_number() OVER (PARTITION BY content ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM best QUALIFY rank <= 3"""
+ORACLES["replace_neighbours"] = ORACLES["merge_similarity"]

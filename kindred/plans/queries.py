@@ -622,6 +622,16 @@ def merge_similarity(spark, d):
     return _round(incremental.merge_similarity(similarity.mfps(train), fresh, changed), "mfps")
 
 
+@query
+def replace_neighbours(spark, d):
+    """Stored neighbour folders of the older ratings, those that changed users touch replaced: equal to a full recompute."""
+    path, clean = work_path(spark, "neighbours"), tables.ratings_dedup(spark, d)
+    stores.write_neighbours(similarity.mfps(clean.where(F.col("ts") <= tables.MARK_EPOCH)), path)
+    changed = _changed(spark, d)
+    stores.replace_neighbours(incremental.mfps_incremental(clean, changed), changed, path)
+    return _round(stores.read_neighbours(spark, path), "mfps")
+
+
 @query
 def write_neighbours(spark, d):
     path = work_path(spark, "neighbours")

@@ -98,3 +98,14 @@ def test_release_removes_what_was_stored(spark, ratings):
     session.release(spark)
     assert not any(os.path.exists(f) for f in folders) and not any(spark.catalog.tableExists(n) for n in names)
     session._made.update(kept)
+
+
+def test_malformed_pairs_and_cells_are_kept_apart(spark, tmp_path):
+    path = tmp_path / "pairs"
+    path.write_text("1;2\t0.5;rc\n1;3\t0.25\nx;2\t1;rc\n7\t1;rc\n1;2\n5;6\tabc;rt\n\n")
+    assert sorted(map(tuple, text.read_pairs(spark, str(path)).collect()), key=str) == [(1, 2, 0.5, "rc"), (1, 3, 0.25, None)]
+    assert text.malformed_pairs(spark, str(path)).count() == 4
+    path = tmp_path / "matrix"
+    path.write_text("1\t10;2.5|11;x|12;4.0&7\nuser\t10;1.0\n2\n3\t10|;|13;1.5\n")
+    assert sorted(map(tuple, text.read_packed_matrix(spark, str(path)).collect()), key=str) == [(1, 7, 10, 2.5), (1, 7, 12, 4.0), (3, None, 13, 1.5)]
+    assert text.malformed_cells(spark, str(path)).count() == 5
