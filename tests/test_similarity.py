@@ -26,7 +26,7 @@ def test_known_scores(ratings):
     assert strict[166, 22][4] == pytest.approx(0.138140393, rel=1e-6)
 
 
-@pytest.mark.parametrize("way", ["join", "grid", "auto"])
+@pytest.mark.parametrize("way", ["join", "grid", "auto", "lists"])
 @pytest.mark.parametrize("strict", [False, True])
 def test_both_ways_equal_brute_force(many, way, strict):
     same(scored(similarity.mfps(many, way=way, strict=strict)), factors(many.collect(), strict))
@@ -56,6 +56,38 @@ def test_grid_aggregates_without_moving_pair_rows(many):
     assert plan.count("Exchange") == 2 and "Python" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 7}, {"chunk": 7, "task_pairs": 300}])
+def test_lists_meet_every_pair_once(many, sizes):
+    met, local = pairs.rater_pairs(many, ["rating", "ts"], way="lists", **sizes)
+    raters = {}
+    for r in many.collect():
+        raters.setdefault(r.item_id, []).append((r.user_id, r.rating, r.ts))
+    expected = {(*a, *b, i) for i, who in raters.items() for a in who for b in who if a[0] < b[0]}
+    rows = [tuple(r) for r in met.select("u", "u_rating", "u_ts", "v", "v_rating", "v_ts", "item_id").collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+    if "task_pairs" in sizes:  # a busy user's pairs lie in several parts, each pair in one
+        assert local == ["part"] and met.select("part").distinct().count() > 1
+        assert met.groupBy("u", "v").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def test_lists_are_the_only_pair_rows_that_move(many):
+    plan = similarity.pair_factors(many, way="lists")._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate inline")]
+    assert "Exchange" not in above and "HashAggregate" in above
+
+
+def test_changed_raters_aggregate_where_they_meet(many):
+    some = many.where("user_id < 40")
+    marked = many.withColumn("mine", F.col("user_id") < 40)
+    met, local = pairs.listed_with(some, marked, ["item_id"], ["ts"], chunk=7, task_pairs=300, once="mine")
+    found = met.groupBy(*local, "u", "v").agg(F.count("*").alias("n"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate inline")]
+    expected = {p: v[0] for p, v in factors(many.collect()).items() if p[0] < 40 and (p[1] >= 40 or p[0] < p[1])}
+    rows = found.collect()
+    assert {(r.u, r.v): r.n for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_corated_pairs(ratings):
     found = similarity.corated_pairs(ratings).collect()
     assert {(r.user_u, r.user_v, r.item_id) for r in found} == {(6, 22, 86), (22, 166, 346), (22, 166, 377)}
