@@ -80,6 +80,19 @@ def test_malformed_lines_are_kept_apart(spark, tmp_path):
     assert text.malformed_ratings_kv(spark, str(path)).count() == 3
 
 
+def test_dense_matrix_shuffles_no_cells(many):
+    cells = rt.dense_matrix(many, block_width=10).select("user_id", "block", F.inline("cells"))
+    sums = cells.groupBy("user_id", "block").agg(F.sum("value").alias("total"))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("BroadcastHashJoin [block")]
+    per_user = {(r.user_id): r.total for r in many.groupBy("user_id").agg(F.sum("rating").alias("total")).collect()}
+    counts = {r.user_id: (r.n, r.mean) for r in many.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).collect()}
+    items = many.select("item_id").distinct().count()
+    found = {r.user_id: r.total for r in sums.groupBy("user_id").agg(F.sum("total").alias("total")).collect()}
+    for user, (n, mean) in counts.items():
+        assert abs(found[user] - per_user[user] - (items - n) * mean) < 1e-6
+
+
 def test_dense_matrix_of_ids_far_apart(spark):
     far = spark.createDataFrame([(1, 1, 5.0, 0), (1, 10 ** 11, 3.0, 0), (2, 1, 1.0, 0)], "user_id long, item_id long, rating double, ts long")
     cells = {(r.user_id, c.item_id): c.value for r in rt.dense_matrix(far).collect() for c in r.cells}

@@ -130,6 +130,20 @@ def test_incremental_equals_recompute(spark, many):
     assert found == pytest.approx({p: v[4] for p, v in factors(now.collect()).items()})
 
 
+def test_merge_shuffles_no_stored_scores(spark, many):
+    stored = similarity.mfps(many, way="grid").select("user_u", "user_v", "mfps")
+    changed = many.where("user_id < 10").select("user_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = incremental.merge_similarity(stored, stored.where("user_u < 10 or user_v < 10"), changed)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin [user_u") == plan.count("BroadcastHashJoin [user_v") == 1
+    assert merged.count() == stored.count()
+
+
 def test_pairs_with_small_chunks(many):
     some = many.where("user_id < 40")
     rows = pairs.pairs_with(some, many, ["item_id"], ["rating"], chunk=5).select("u", "v", "item_id").collect()
