@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import arrow
-from kindred.llm.vocabulary import ChunkTable, word_vocabulary
+from kindred.llm.vocabulary import ChunkTable, forget, word_vocabulary
 from kindred.session import store
 
 TASK_ITEMS = 100_000
@@ -39,6 +39,7 @@ def _table(path: str) -> ChunkTable:
 def _pieces(path: str, size: int, end: int, with_ids: bool):
     def run(batches):
         vocabulary, table = word_vocabulary(path), _table(path)
+        forget(but=table)  # what the stages before this one left in the worker
         closing = array("I", [end]).tobytes()
         for batch in batches:
             for part in arrow.pieces(batch, "text"):

@@ -455,3 +455,17 @@ def test_a_second_scan_reads_the_ledger(spark, odd, monkeypatch):
     _, found, scanned = secret_scan.scan_into(more, path, newer)
     assert scanned == more.select(F.coalesce("text", F.lit(""))).distinct().count()  # every blob, by the one new rule version
     assert {(r["rule"], r["version"]) for r in found.collect()} == {("assign", 1), ("forge", 2)}
+
+
+def test_packing_drops_what_other_stages_left_in_the_worker():
+    import public_tokenizers
+    import pyarrow as pa
+    from kindred.llm import packing, vocabulary
+    path = public_tokenizers.path("word_bpe_49k.json")
+    left, own = vocabulary.WordTable(len), packing._table(path)
+    left["x"], left.older = 1, {"y": 1}
+    own["kept"] = own.value("kept")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], names=["doc_id", "text"])
+    rows = next(packing._pieces(path, 2048, 0, False)(iter([batch])))
+    assert rows.column("length").to_pylist()[0] >= 3
+    assert not left and not left.older and "kept" in own
