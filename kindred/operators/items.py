@@ -17,6 +17,8 @@ from kindred.session import store
 # Bytes of vectors a task holds per side of a block, and scores it holds at once.
 BLOCK_BYTES = 32 << 20
 SCORES_AT_ONCE = 4 << 20
+# Scores of which only the largest counts when a query's k-th score is bounded from below.
+GROUP = 64
 
 
 def extract_item_id(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -95,6 +97,26 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score (to 10 places) of the k largest of each row, the smaller column first among equals.
+
+    The k-th largest of the maxima of groups of columns is reached by k columns, so only what reaches it is rounded and sorted.
+    """
+    whole = scores.shape[1] // GROUP
+    if whole > k and np.isfinite(scores).all():
+        tops = scores[:, :whole * GROUP].reshape(len(scores), whole, GROUP).max(axis=2)
+        least = np.partition(tops, whole - k, axis=1)[:, whole - k]
+        row, column = np.nonzero(scores >= (least - 1e-9)[:, None])  # more than rounding moves a score
+        value = np.round(scores[row, column], 10)
+        order = np.lexsort((column, -value, row))
+        row, column, value = row[order], column[order], value[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], column[kept], value[kept]
+    scores = np.round(scores, 10)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(best)), best.shape[1]), best.ravel(), np.take_along_axis(scores, best, axis=1).ravel()
+
+
 def _block_top_k(k: int):
     def run(queries: pa.Table, items: pa.Table) -> pa.Table:
         asked_rows, found, found_scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
@@ -104,12 +126,11 @@ def _block_top_k(k: int):
             vectors, asked = _matrix(items["vector"]).T, _matrix(queries["vector"])
             step = max(1, SCORES_AT_ONCE // len(ids))
             for at in range(0, len(asked), step):
-                scores = np.round(asked[at:at + step] @ vectors, 10)
-                # a stable sort leaves equal scores in id order, so ties end as in the final ranking
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                asked_rows.append(np.repeat(np.arange(at, at + len(best)), best.shape[1]))
-                found.append(ids[best].ravel())
-                found_scores.append(np.take_along_axis(scores, best, axis=1).ravel())
+                # columns are in id order, so ties end as in the final ranking
+                row, column, score = _best(asked[at:at + step] @ vectors, k)
+                asked_rows.append(row + at)
+                found.append(ids[column])
+                found_scores.append(score)
         return pa.table({"query_id": queries["query_id"].take(pa.array(np.concatenate(asked_rows))),
                          "item_id": pa.array(np.concatenate(found)),
                          "score": pa.array(np.concatenate(found_scores))})

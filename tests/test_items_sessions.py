@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,21 @@ def test_one_new_item_and_an_empty_name_are_not_lost(spark, tmp_path):
     found = {r.item_id: r.embedding for r in spark.read.parquet(path).collect()}
     assert sorted(found) == [1, 2, 3] and spark.read.parquet(path).count() == 3
     assert found[3] == [0.0] * 64 and sum(x * x for x in found[2]) == pytest.approx(1.0)
+
+
+def test_best_of_a_block_is_that_of_sorting_it_and_sorts_little(monkeypatch):
+    rng = np.random.default_rng(5)
+    stock = rng.normal(size=(7000, 8))
+    stock[::9] = stock[4]  # copies tie, and more of them than are asked for
+    stock /= np.linalg.norm(stock, axis=1)[:, None]
+    for scores in (stock[:40] @ stock.T, np.round(stock[:40] @ stock.T, 1), stock[:40] @ stock.T + rng.normal(size=(40, 7000)) * 1e-11):
+        rounded = np.round(scores, 10)
+        best = np.argsort(-rounded, axis=1, kind="stable")[:, :21]
+        row, column, score = items._best(scores, 21)
+        assert (row.reshape(best.shape) == np.arange(40)[:, None]).all() and (column.reshape(best.shape) == best).all()
+        assert (score.reshape(best.shape) == np.take_along_axis(rounded, best, axis=1)).all()
+    sizes, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or plain(keys))
+    monkeypatch.setattr(np, "argsort", None)
+    items._best(rng.normal(size=(40, 7000)), 21)
+    assert sizes and sizes[0] < 40 * 7000 / 50
