@@ -197,3 +197,22 @@ def test_a_returning_assignment_is_an_error(spark, many, monkeypatch):
     monkeypatch.setattr(clustering, "_nearest", restless)
     with pytest.raises(RuntimeError, match="came back"):
         clustering.refine_clusters(profile, start)
+
+
+@pytest.mark.parametrize("total", [0, 2_000])
+def test_rounds_send_no_more_through_the_driver_than_allowed(spark, refined, monkeypatch, total):
+    profile, start, want, places = refined
+    monkeypatch.setattr(clustering, "BROADCAST_TOTAL", total)
+    cells, plain = [], F.broadcast
+
+    def counted(df):
+        cells.append(df.count() * (5 if "c0" in df.columns else 3))
+        return plain(df)
+    monkeypatch.setattr(clustering.F, "broadcast", counted)
+    assigned, centroids, done = clustering.refine_clusters(profile, start)
+    assert done > 5 and sum(cells) <= total
+    near = {r.user_id: (r.ordinal, pytest.approx(r.distance, abs=1e-7)) for r in want.collect()}
+    assert {r.user_id: (r.ordinal, r.distance) for r in assigned.collect()} == near
+    values = lambda df: {(r.ordinal, r.item_id): (r.base, r.dev) for r in df.collect() if abs(r.dev) > 1e-9}
+    found, expected = values(centroids), values(places)
+    assert found.keys() == expected.keys() and all(found[c] == pytest.approx(expected[c], abs=1e-9) for c in found)
