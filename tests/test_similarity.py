@@ -163,3 +163,35 @@ def test_new_ratings_and_clusters(spark, ratings):
     labels = spark.createDataFrame([(22, 1), (186, 2), (6, 3)], schemas.LABELS)
     found = incremental.affected_clusters(incremental.changed_users(fresh), labels)
     assert {r.label for r in found.collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("unit", [86_400, 1])
+def test_whole_days_travel_as_days_and_counts_only_where_asked(spark, many, unit):
+    from kindred.operators import pairs
+    ratings = many.withColumn("ts", (F.floor(F.col("ts") / 3600) * unit - 50 * unit).cast("bigint")).cache()
+    lists = similarity.pair_factors(ratings, way="lists").cache()
+    plain = similarity.pair_factors(ratings, way="join")
+    key = lambda r: (r.user_u, r.user_v)
+    found = {key(r): (r.rc, r.rd, round(r.rt, 9), r.n_u, r.n_v) for r in lists.collect()}
+    assert found == {key(r): (r.rc, r.rd, round(r.rt, 9), r.n_u, r.n_v) for r in plain.collect()}
+    met, _, types = pairs._lists(ratings, ratings, ["item_id"], [], ["ts"], lambda v, user: v["v"] > user, 120)
+    assert types["ts"] == (("smallint", 86_400) if unit == 86_400 else ("smallint", 1)) and types["user_id"] == ("tinyint", 1)
+    assert dict(met.dtypes)["v_ts"] == "array<smallint>"
+    bare = similarity.pair_factors(ratings, factors=("rd",), way="lists", counts=False)
+    assert bare.columns == ["user_u", "user_v", "rd"]
+    assert {key(r): r.rd for r in bare.collect()} == {k: v[1] for k, v in found.items()}
+
+
+def test_pairs_not_asked_for_leave_before_the_shuffle(spark, ratings):
+    scores = similarity.mfps(ratings)
+    wanted = spark.createDataFrame([(22, 186), (166, 186), (6, 253)], "user_u long, user_v long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = similarity.similarity_of(wanted, scores, zero_rc="drop")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2 and "LeftSemi" in plan
+        rows = {(r.user_u, r.user_v): r.mfps for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == {(r.user_u, r.user_v): r.mfps for r in scores.collect() if (r.user_u, r.user_v) in {(22, 186), (166, 186), (6, 253)}}
