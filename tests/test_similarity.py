@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from brute import factors
 from kindred import schemas
 from kindred.operators import incremental, pairs, similarity
+from kindred.session import folders_made
 
 
 def scored(df):
@@ -195,3 +196,20 @@ def test_pairs_not_asked_for_leave_before_the_shuffle(spark, ratings):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert rows == {(r.user_u, r.user_v): r.mfps for r in scores.collect() if (r.user_u, r.user_v) in {(22, 186), (166, 186), (6, 253)}}
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_scores_lie_by_the_home_of_their_user(spark, many, monkeypatch, grid):
+    monkeypatch.setattr(pairs, "grid_blocks", lambda session: 4 if grid else 1000)
+    want = sorted((r.user_u, r.user_v, r.rc, r.ru, r.rd, round(r.rt, 9), round(r.mfps, 9)) for r in similarity.mfps(many).collect())
+    found = similarity.mfps_by_user(many, 16)
+    assert sorted((r.user_u, r.user_v, r.rc, r.ru, r.rd, round(r.rt, 9), round(r.mfps, 9)) for r in found.collect()) == want
+    lies = found.select(F.pmod(F.xxhash64("user_u"), F.lit(16)).alias("home"), F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(lies) == len({r.home for r in lies}) > 8
+
+
+def test_kept_factors_are_a_row_per_pair(spark, many):
+    before = set(folders_made())
+    kept = similarity.mfps(many, keep="factors")
+    folder, = (f for f in folders_made() if f not in before and "/factors-" in f)
+    assert kept.count() == similarity.mfps(many).count() == 2 * spark.read.parquet(folder).count()
