@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import arrow
 from kindred.llm.shingles import mix
-from kindred.llm.vocabulary import forget
+from kindred.llm.vocabulary import released
 
 DIMS = 4096
 ROWS = 128
@@ -67,9 +67,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (rows / np.where(norm > 0, norm, 1)).astype(np.float32), np.bincount(doc[letter], minlength=len(part)) > 0
 
 
+@released
 def _blocks(batches):
     """Rows in blocks of at most ROWS, with their features; null texts as empty ones."""
-    forget()
     for batch in batches:
         for part in arrow.pieces(batch, "text"):
             for start in range(0, part.num_rows, ROWS):

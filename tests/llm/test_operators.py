@@ -18,8 +18,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kindred.llm import byte_bpe, fingerprints, langid, ngram_join, packing, secret_scan, token_count, url_filter, vector_index, warc
-from kindred.llm.session import keep_likely, prepare
+from kindred.llm import byte_bpe, fingerprints, langid, ngram_join, packing, secret_scan, token_count, url_filter, vector_index, vocabulary, warc
+from kindred.llm.session import keep_likely, mark_likely, prepare
 from kindred.session import work_path
 
 WORDS = "the a of and reason model train data token secret count merge pack join vector page link crawl host rank".split()
@@ -105,6 +105,28 @@ def test_filter_keeps_every_wanted_row(spark):
     assert kept >= set(range(0, 20_000, 7)) and len(kept) < 3_100
 
 
+def test_filter_needs_no_python_worker(spark):
+    rows = spark.createDataFrame([(k if k % 10 else None, k) for k in range(3000)], "k long, n long")
+    marked = mark_likely(rows, rows.where("n % 3 = 0").select("k"), "k", "likely")
+    assert "Python" not in plan_of(marked) and "InArrow" not in plan_of(marked) and marked.columns == ["k", "n", "likely"]
+    found = [(r.k, r.n, r.likely) for r in marked.collect()]
+    assert len(found) == 3000 and all(likely is False for k, _, likely in found if k is None)
+    assert all(likely for k, n, likely in found if k is not None and n % 3 == 0) and sum(likely for *_, likely in found) < 1000
+    assert mark_likely(rows, rows.limit(0).select("k"), "k", "likely").where("likely").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_gives_memory_back_before_and_after_a_task(monkeypatch):
+    seen = []
+    monkeypatch.setattr(vocabulary, "forget", lambda: seen.append("forget"))
+    for batch in vocabulary.released(lambda batches: (b for b in batches))(iter([1, 2])):
+        seen.append(batch)
+    assert seen == ["forget", 1, 2, "forget"]
+
+
 def ids_by_library(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     return [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
