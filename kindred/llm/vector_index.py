@@ -1,15 +1,14 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Both halves of a vector are quantised separately; a cell is a pair of centroids, one per half. A
-query walks the cells by the sum of its two centroid distances, with a heap over the grid of its two
-sorted lists, until the cells walked hold the wanted share of the index. The vectors in them are
-ranked by their exact inner product.
+query walks the cells by the sum of its two centroid distances, until the cells walked hold the wanted
+share of the index; what travels with a query is the last cell it walks, not the list of them. The vectors in
+the walked cells are ranked by their exact inner product.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from kindred.session import store
 
 SAMPLE = 20_000
 SHARD_VECTORS = 16_384
-SHARD_QUERIES = 4_096
+SHARD_QUERIES = 16_384
 CELL_VECTORS = 10
 MOST_CENTROIDS = 256
 
@@ -35,24 +34,30 @@ class Index:
     second: np.ndarray
     sizes: np.ndarray
 
-    def walk(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Cells in order of summed distance (negated inner product) until they hold `wanted` vectors or all."""
-        half, k = self.first.shape[1], len(self.first)
-        a, b = -(self.first @ query[:half]), -(self.second @ query[half:])
-        i_of, j_of = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        a, b = a[i_of].tolist(), b[j_of].tolist()
-        heap, walked, held = [(a[0] + b[0], 0, 0)], [], 0
-        while heap and held < wanted:
-            _, i, j = heappop(heap)
-            cell = int(i_of[i]) * k + int(j_of[j])
-            if self.sizes[cell]:
-                walked.append(cell)
-                held += int(self.sizes[cell])
-            if i + 1 < k:
-                heappush(heap, (a[i + 1] + b[j], i + 1, j))
-            if i == 0 and j + 1 < k:
-                heappush(heap, (a[0] + b[j + 1], 0, j + 1))
-        return np.array(walked, np.int32)
+    def distances(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Negated inner products with both halves' centroids; plain sums, the same in every task."""
+        half = self.first.shape[1]
+        return -(self.first * query[:half]).sum(1), -(self.second * query[half:]).sum(1)
+
+    def reach(self, query: np.ndarray, wanted: int) -> tuple[float, int]:
+        """The last of the cells, in order of summed distance, that together hold `wanted` vectors or all: its sum and its place.
+
+        Places number the cells by the rank of their first centroid, then of their second; equal sums are walked in order of place.
+        """
+        a, b = self.distances(query)
+        k, i_of, j_of = len(a), np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        sums = (a[i_of][:, None] + b[j_of][None, :]).ravel()
+        order = np.argsort(sums, kind="stable")
+        held = np.cumsum(self.sizes.reshape(k, k)[i_of][:, j_of].ravel()[order])
+        last = order[min(np.searchsorted(held, wanted), len(order) - 1)]
+        return float(sums[last]), int(last)
+
+    def walked(self, query: np.ndarray, cells: np.ndarray, reach: float, place: int) -> np.ndarray:
+        """Which of some cells (by first * k + second) lie within a reach."""
+        a, b = self.distances(query)
+        k, i, j = len(a), *np.divmod(cells, len(a))
+        sums, rank_a, rank_b = a[i] + b[j], np.argsort(np.argsort(a, kind="stable")), np.argsort(np.argsort(b, kind="stable"))
+        return ~((sums > reach) | ((sums == reach) & (rank_a[i] * k + rank_b[j] > place)))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -118,52 +123,40 @@ def _assign(shared):
     return run
 
 
-def _walks(shared, wanted: int):
+def _reaches(shared, wanted: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                cells = [shared.value.walk(q, wanted) for q in _matrix(batch.column("v"))]
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), arrow.lists(cells, pa.int32())],
-                                                 names=["vec_id", "v", "cells"])
+                reach, place = zip(*[shared.value.reach(q, wanted) for q in _matrix(batch.column("v"))], strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(reach, pa.float64()), pa.array(place, pa.int32())],
+                                                 names=["vec_id", "v", "reach", "cell"])
     return run
 
 
-def _search(k: int):
+def _search(shared, k: int):
     """Per block of a shard's vectors and some queries: the k best vectors of each query among the cells it walks."""
     def run(batches):
         for rows in arrow.runs(batches, "block"):
             ids, v = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"))
-            cells = rows.column("cells").combine_chunks()
-            bounds, cells = cells.offsets.to_numpy(), cells.flatten().to_numpy()
+            cells, reach = rows.column("cell").to_numpy(), rows.column("reach").to_numpy()
             kind = rows.column("kind").to_numpy()
             entries, queries = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             if not len(entries) or not len(queries):
                 continue
-            own = cells[bounds[entries] - bounds[0]]
-            order = np.lexsort((ids[entries], own))
-            entries, own = entries[order], own[order]
-            names, starts = np.unique(own, return_index=True)
-            ends = np.append(starts[1:], len(own))
-            e, e_ids = v[entries], ids[entries]
+            e, e_ids, own = v[entries], ids[entries], cells[entries]
             out = []
             for at in range(0, len(queries), 256):
                 some = queries[at:at + 256]
-                q = v[some]
-                near = np.full((len(some), len(e)), -np.inf)
-                walked = np.zeros((len(some), cells.max() + 1), bool)
+                near = v[some] @ e.T
                 for n, i in enumerate(some):
-                    walked[n, cells[bounds[i] - bounds[0]:bounds[i + 1] - bounds[0]]] = True
-                for name, lo, hi in zip(names.tolist(), starts, ends, strict=True):
-                    who = np.flatnonzero(walked[:, name])
-                    if len(who):
-                        near[who, lo:hi] = q[who] @ e[lo:hi].T
+                    near[n, ~shared.value.walked(v[i], own, reach[i], cells[i])] = -np.inf
                 near[e_ids[None, :] == ids[some][:, None]] = -np.inf
                 bar = np.partition(near, -k, axis=1)[:, -k] if len(e) > k else np.full(len(some), -np.inf)
                 for n, i in enumerate(some):
                     # The product of a matrix may round rows differently; the last bits are taken from one plain sum.
                     close = np.flatnonzero((near[n] >= bar[n] - 1e-9 * max(1.0, abs(bar[n]))) & (near[n] > -np.inf)
                                            if np.isfinite(bar[n]) else near[n] > -np.inf)
-                    score = (e[close] * q[n]).sum(1)
+                    score = (e[close] * v[i]).sum(1)
                     best = np.lexsort((e_ids[close], -score))[:k]
                     out.append((np.full(len(best), ids[i]), e_ids[close][best], score[best]))
             if out:
@@ -196,16 +189,16 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, s
         sizes[r["cell"]] = r["count"]
     index = spark.sparkContext.broadcast(Index(*halves, sizes))
     asked = rows if queries is None else rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    asked = store(asked.mapInArrow(_walks(index, max(int(share * count), 125 * k)), "vec_id long, v array<double>, cells array<int>"), "walks")
+    asked = store(asked.mapInArrow(_reaches(index, max(int(share * count), 125 * k)), "vec_id long, v array<double>, reach double, cell int"), "walks")
     shards = -(-count // SHARD_VECTORS)
     turns = max(1, -(-asked.count() // SHARD_QUERIES))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     turn = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(turns))
-    wanted = asked.withColumn("shard", every).select((F.col("shard") * turns + turn).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "cells")
+    wanted = asked.withColumn("shard", every).select((F.col("shard") * turns + turn).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "cell", "reach")
     held = (cells.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
             .select((F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)) * turns + F.col("turn")).alias("block"), F.lit(0).alias("kind"),
-                    "vec_id", "v", F.array("cell").alias("cells")))
+                    "vec_id", "v", "cell", F.lit(0.0).alias("reach")))
     found = (held.unionAll(wanted).repartition("block").sortWithinPartitions("block")
-             .mapInArrow(_search(k), "query_id long, vec_id long, score double"))
+             .mapInArrow(_search(index, k), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import heapq
 import io
 import random
 import re
@@ -371,6 +372,40 @@ def test_nearest_vectors(spark):
     assert few.groupBy("query_id").count().where("count = 4").count() == 5
 
 
+def heap_walk(index, query, wanted):
+    """Cells in order of summed distance until they hold `wanted` vectors, from a heap over the grid of the two sorted lists."""
+    (a, b), k = index.distances(query), len(index.first)
+    i_of, j_of = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    heap, walked, held = [(a[i_of[0]] + b[j_of[0]], 0, 0)], set(), 0
+    while heap and held < wanted:
+        _, i, j = heapq.heappop(heap)
+        walked.add(int(i_of[i]) * k + int(j_of[j]))
+        held += index.sizes[int(i_of[i]) * k + int(j_of[j])]
+        if i + 1 < k:
+            heapq.heappush(heap, (a[i_of[i + 1]] + b[j_of[j]], i + 1, j))
+        if i == 0 and j + 1 < k:
+            heapq.heappush(heap, (a[i_of[0]] + b[j_of[j + 1]], 0, j + 1))
+    return walked
+
+
+def test_queries_carry_the_last_cell_of_their_walk(spark, monkeypatch):
+    rng, kept = np.random.default_rng(3), {}
+    index = vector_index.Index(rng.integers(-2, 3, (12, 4)).astype(float), rng.integers(-2, 3, (12, 4)).astype(float), rng.integers(0, 4, 144))
+    for query in rng.integers(-2, 3, (40, 8)).astype(float):
+        for wanted in (1, 50, int(index.sizes.sum()), 10_000):
+            found = np.flatnonzero(index.walked(query, np.arange(144), *index.reach(query, wanted)))
+            some = lambda cells: {c for c in cells if index.sizes[c]}
+            assert some(found.tolist()) == some(heap_walk(index, query, wanted))
+
+    def storing(df, name, store=vector_index.store):
+        kept[name] = store(df, name)
+        return kept[name]
+    monkeypatch.setattr(vector_index, "store", storing)
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(3000, 8)))], "vec_id long, embedding array<double>")
+    assert vector_index.nearest(vectors, vectors.where("vec_id < 9")).count() == 9 * 20
+    assert [c for c, kind in kept["walks"].dtypes if kind.startswith("array")] == ["v"]
+
+
 def test_warc(spark):
     pages = [(1, "http://a.org/x y", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, None, None), (3, "http://b", ""), (4, "u\r\nX: 1", "<p>same</p>"), (5, "v", "<p>same</p>"),
              (5, "v", "<p>same</p>"), (None, "w", "<p>same</p>"), (7, "z", "long " * 100_000)]
