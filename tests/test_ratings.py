@@ -93,6 +93,18 @@ def test_dense_matrix_shuffles_no_cells(many):
         assert abs(found[user] - per_user[user] - (items - n) * mean) < 1e-6
 
 
+@pytest.mark.parametrize("size", [1000, 300])
+def test_dense_matrix_has_tasks_for_its_cells(spark, many, size):
+    items = many.select("item_id").distinct().count()
+    matrix = rt.dense_matrix(many, block_width=10, task_cells=size)
+    tasks = matrix.select(F.spark_partition_id().alias("task"), F.size("cells").alias("n")).groupBy("task").agg(F.sum("n").alias("n")).collect()
+    assert -(-120 * items // size) * 0.6 < len(tasks) <= -(-120 * items // size) and sum(r.n for r in tasks) == 120 * items
+    ratings = {(r.user_id, r.item_id): r.rating for r in many.collect()}
+    means = {r.user_id: r.avg_rating for r in rt.avg_rating(many).collect()}
+    found = {(r.user_id, c.item_id): c.value for r in matrix.collect() for c in r.cells}
+    assert len(found) == 120 * items and all(v == ratings.get((u, i), means[u]) for (u, i), v in found.items())
+
+
 def test_dense_matrix_of_ids_far_apart(spark):
     far = spark.createDataFrame([(1, 1, 5.0, 0), (1, 10 ** 11, 3.0, 0), (2, 1, 1.0, 0)], "user_id long, item_id long, rating double, ts long")
     cells = {(r.user_id, c.item_id): c.value for r in rt.dense_matrix(far).collect() for c in r.cells}
