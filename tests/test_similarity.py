@@ -103,6 +103,20 @@ def test_single_factors_agree_with_the_score(many):
         assert found == pytest.approx({p: v[at] for p, v in expected.items()})
 
 
+def test_ratings_meet_their_users_only_for_what_is_asked(many, monkeypatch):
+    met = []
+    monkeypatch.setattr(similarity, "with_sides", lambda *a, f=similarity.with_sides: met.append(1) or f(*a))
+    expected = factors(many.collect())
+    for frame, at in ((similarity.rating_commodity(many), 0), (similarity.rating_time(many), 3)):
+        assert not met
+        assert {(r[0], r[1]): r[2] for r in frame.collect()} == pytest.approx({p: v[at] for p, v in expected.items()})
+    similarity.rating_usefulness(many), similarity.rating_details(many)
+    assert len(met) == 2
+    known = many.where("user_id < 40").groupBy("user_id").agg(F.avg("rating").alias("avg_rating"))
+    some = {(r.user_u, r.user_v) for r in similarity.rating_commodity(many, averages=known).collect()}
+    assert some == {p for p in expected if max(p) < 40}
+
+
 def test_strangers(spark, ratings):
     scores = similarity.mfps(ratings)
     wanted = spark.createDataFrame([(6, 166), (6, 22)], "user_u long, user_v long")
