@@ -71,6 +71,30 @@ def test_lists_meet_every_pair_once(many, sizes):
         assert met.groupBy("u", "v").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("spread, kinds", [(1, ["smallint"]), (4, ["smallint", "tinyint"]), (400, ["int"]), (10 ** 5, ["int", "tinyint"]), (10 ** 7, ["int", "smallint"]),
+                                           (10 ** 10, ["int", "smallint", "tinyint"]), (10 ** 12, ["int", "int"])])
+def test_integers_travel_as_one_narrow_number(spark, spread, kinds):
+    rows = [(u, -3 + u % 5 if u % 7 else None, (u % 11 - 5) * 86_400 if u % 3 else None, 5 - u * spread) for u in range(60)] + [(60, 1, 0, None)]
+    frame = spark.createDataFrame(rows, "user_id long, side int, day long, far long").drop(*(["far"] if spread == 1 else []))
+    code = pairs._code(pairs._ends(frame, frame.columns))
+    assert code.kinds == kinds
+    moved = frame.select("*", *code.words({c: F.col(c) for c in code.at})).repartition(3)
+    assert [dict(moved.dtypes)[f"w{i}"] for i in range(len(kinds))] == kinds
+    back = moved.select(*[c.alias(n) for n, c in code.values(dict(zip(frame.columns, [f.dataType for f in frame.schema]))).items()])
+    assert back.schema["side"].dataType == frame.schema["side"].dataType
+    assert sorted(map(str, back.select(*frame.columns).collect())) == sorted(map(str, frame.collect()))
+    wide = spark.createDataFrame([(0, -2 ** 63, 2 ** 63 - 1), (1, 2 ** 63 - 1, 0)], "user_id long, side long, far long")
+    assert pairs._code(pairs._ends(wide, wide.columns)) is None
+
+
+def test_lists_without_a_common_number_meet_every_pair(spark, many):
+    far = many.withColumn("ts", F.when(F.col("user_id") % 2 == 0, F.col("ts") + 2 ** 62).otherwise(F.col("ts") - 2 ** 62 - 2 ** 61))
+    met, _ = pairs.rater_pairs(far, ["rating", "ts"], way="lists")
+    joined, _ = pairs.rater_pairs(far, ["rating", "ts"], way="join")
+    columns = ["u", "v", "item_id", "u_rating", "v_rating", "u_ts", "v_ts"]
+    assert sorted(map(tuple, met.select(*columns).collect())) == sorted(map(tuple, joined.select(*columns).collect()))
+
+
 def test_lists_are_the_only_pair_rows_that_move(many):
     plan = similarity.pair_factors(many, way="lists")._jdf.queryExecution().executedPlan().toString()
     above = plan[:plan.index("Generate inline")]
